@@ -3,18 +3,37 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe as _bpe
+from . import bpe as _bpe, chat, mixing, sharding, topk
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), 40)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    return chat.digests(chat.read_chats(chat.format_chats(turns.unionByName(extra))))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op6_bpe": op6_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op3_sharding": op3_sharding, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op8_topk": op8_topk}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op5_chat": chat.SQL, "op8_topk": topk.SQL}
