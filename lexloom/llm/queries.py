@@ -5,13 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe as _bpe, chat, mixing, sharding, topk
+from . import bpe as _bpe, chat, fingerprint, langid, mixing, neardup, quality, sharding, topk
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.fit(docs), [F.col("doc_id"), langid.held_out("doc_id").alias("held_out")])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -20,6 +26,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 40)
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), percent=85, shingle=3)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
@@ -35,5 +45,13 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_sharding": op3_sharding, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op8_topk": op8_topk}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_langid": op1_langid, "op4_neardup": op4_neardup, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint, "op2_mixing": op2_mixing, "op3_sharding": op3_sharding, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op8_topk": op8_topk}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op5_chat": chat.SQL, "op8_topk": topk.SQL}
