@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe as _bpe, chat, fingerprint, langid, mixing, neardup, quality, sharding, topk
+from . import bpe as _bpe, chat, fingerprint, langid, mixing, neardup, quality, repeats, sharding, topk
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal(documents(spark, sf_dir))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -53,5 +57,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_langid": op1_langid, "op4_neardup": op4_neardup, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint, "op2_mixing": op2_mixing, "op3_sharding": op3_sharding, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op8_topk": op8_topk}
+QUERIES = {"op1_langid": op1_langid, "op4_neardup": op4_neardup, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint, "op2_mixing": op2_mixing, "op3_sharding": op3_sharding, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_repeats": op7_repeats, "op8_topk": op8_topk}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op5_chat": chat.SQL, "op8_topk": topk.SQL}
