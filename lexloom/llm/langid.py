@@ -17,13 +17,15 @@ repeated rows give repeated results; whole texts are read, whatever their length
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .runtime import WordCache, ship
+from .runtime import ship
 
-BUCKETS, ORDERS, SAMPLE, SWITCH, MIN_SHARE = 1 << 16, (1, 2, 3, 4), 1500, 6.0, 0.02
+BUCKETS, ORDERS, SAMPLE, SWITCH, MIN_SHARE, KNOWN = 1 << 16, (1, 2, 3, 4), 1500, 6.0, 0.02, 150_000
 #: Code point ranges of scripts.
 SCRIPTS = (
     ("latin", ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF))),
@@ -44,7 +46,12 @@ def script(letter: str) -> int:
 
 def pieces(word: str) -> list[str]:
     """The word's lower-case letters, cut where the script changes and at PIECE letters."""
-    letters = [c for c in word.lower() if c.isalpha()]
+    word = word.lower()
+    if word.isascii():
+        bare = word if word.isalpha() else word[:-1] if word[:-1].isalpha() else "".join(filter(str.isalpha, word))
+        if len(bare) <= PIECE:
+            return [bare] if bare else []
+    letters = [c for c in word if c.isalpha()]
     if not letters:
         return []
     out, last = [[letters[0]]], script(letters[0])
@@ -57,18 +64,27 @@ def pieces(word: str) -> list[str]:
     return ["".join(x) for x in out]
 
 
-def features(piece: str) -> np.ndarray:
-    """The buckets of its n-grams."""
-    codes = np.array([32, *map(ord, piece), 32], np.uint64)
-    out = []
+def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, part) of every n-gram of these pieces, with a space at either end of each."""
+    codes = np.frombuffer((" " + " ".join(parts) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    space = codes == 32
+    part = np.cumsum(space) - 1
+    buckets, owners = [], []
     for n in ORDERS:
-        if len(codes) >= n:
-            h = np.full(len(codes) - n + 1, n, np.uint64)
-            for i in range(n):
-                h = (h ^ codes[i : len(codes) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out.append(h)
-    return (np.concatenate(out) >> np.uint64(40)).astype(np.int64) % BUCKETS
+        size = len(codes) - n + 1
+        if size <= 0:
+            break
+        h, ok = np.full(size, n, np.uint64), np.ones(size, bool)
+        for i in range(n):
+            h = (h ^ codes[i : size + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            if n == 1 or 0 < i < n - 1:
+                ok &= ~space[i : size + i]
+        if n == 2:
+            ok &= ~(space[:size] & space[1 : size + 1])
+        buckets.append((h[ok] >> np.uint64(40)).astype(np.int64) % BUCKETS)
+        owners.append(part[:size][ok])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 class Model:
@@ -76,25 +92,54 @@ class Model:
 
     def __init__(self, langs: list[str], table: np.ndarray, allowed: np.ndarray):
         self.langs, self.table, self.allowed = langs, table, allowed
-        self.cache = WordCache(self.score, 100_000)
-
-    def score(self, word: str) -> tuple[bytes, int]:
-        """(scores relative to the best as packed float32, letters) of a word; no scores without letters."""
-        total, letters = np.zeros(len(self.langs)), 0
-        for piece in pieces(word):
-            allowed = self.allowed[script(piece[0])]
-            s = self.table[features(piece)].mean(axis=0) * min(len(piece), 8)
-            if allowed.any():
-                s = np.where(allowed, s, s[allowed].min() - 8.0)
-            total += s - s.max()
-            letters += len(piece)
-        return (total - total.max()).astype(np.float32).tobytes(), letters
+        self.known: dict[str, tuple[bytes, int]] = {}
+        self.older: dict[str, tuple[bytes, int]] = {}
+
+    def learn(self, words: set[str]) -> dict[str, tuple[bytes, int]]:
+        """word -> (its scores relative to the best as packed float32, letters). Scores of a batch's new words are
+        computed together; what is known is kept in two generations of bounded size."""
+        table, new = {}, []
+        for w in words:
+            got = self.known.get(w)
+            if got is None:
+                got = self.older.get(w)
+                if got is None:
+                    new.append(w)
+                    continue
+                self.known[w] = got
+            table[w] = got
+        k = len(self.langs)
+        for start in range(0, len(new), 20_000):
+            part = new[start : start + 20_000]
+            cut = [pieces(w) for w in part]
+            flat = [p for ps in cut for p in ps]
+            total = np.zeros((len(part), k))
+            if flat:
+                sizes = np.array([len(p) for p in flat])
+                owner = np.repeat(np.arange(len(part)), [len(ps) for ps in cut])
+                buckets, of = features(flat)
+                many = np.maximum(np.bincount(of, minlength=len(flat)), 1)
+                likely = np.stack([np.bincount(of, self.table[buckets, n], len(flat)) for n in range(k)], axis=1)
+                likely *= (np.minimum(sizes, 8) / many)[:, None]
+                allowed = self.allowed[[script(p[0]) for p in flat]]
+                least = np.where(allowed, likely, np.inf).min(axis=1, keepdims=True)
+                likely = np.where(allowed | ~np.isfinite(least), likely, least - 8.0)
+                likely -= likely.max(axis=1, keepdims=True)
+                total = np.stack([np.bincount(owner, likely[:, n], len(part)) for n in range(k)], axis=1)
+                total -= total.max(axis=1, keepdims=True)
+            packed = total.astype(np.float32).tobytes()
+            for i, (w, ps) in enumerate(zip(part, cut)):
+                table[w] = self.known[w] = (packed[4 * k * i : 4 * k * (i + 1)], sum(map(len, ps)))
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
+        return table
 
     def label(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         """Each text's words' languages by Viterbi, their letters, and the posterior of that language for each word."""
         words = [x.split() for x in texts]
         sizes = np.array([len(w) for w in words], np.int64)
-        got = [self.cache[w] for ws in words for w in ws]
+        table = self.learn(set().union(*words))
+        got = [table[w] for ws in words for w in ws]
         k = len(self.langs)
         scores = np.frombuffer(b"".join(g[0] for g in got), np.float32).reshape(-1, k)
         letters = np.fromiter((g[1] for g in got), np.int64, len(got))
@@ -167,18 +212,24 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text",
         pick = pick | ((F.col(lang_col) == lang) & (spot < int((1 << 30) * min(1.0, sample / sizes[lang]))))
 
     def count(batches):
-        table, scripts = np.zeros((len(langs), BUCKETS), np.int64), np.zeros((len(langs), OTHER + 1), np.int64)
-        at = {x: n for n, x in enumerate(langs)}
+        table, scripts = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), OTHER + 1), np.int64)
+        words: dict[str, Counter] = {x: Counter() for x in langs}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in text.split():
-                    for piece in pieces(word):
-                        np.add.at(table[at[lang]], features(piece), 1)
-                        scripts[at[lang], script(piece[0])] += len(piece)
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                words[lang].update(text.as_py().split())
+        for n, lang in enumerate(langs):
+            items = list(words[lang].items())
+            for start in range(0, len(items), 20_000):
+                flat = [(p, c) for w, c in items[start : start + 20_000] for p in pieces(w)]
+                if flat:
+                    buckets, of = features([p for p, _ in flat])
+                    table[n] += np.bincount(buckets, np.array([c for _, c in flat], float)[of], BUCKETS)
+                    for p, c in flat:
+                        scripts[n, script(p[0])] += c * len(p)
         for n in range(len(langs)):
             for kind, counts in ((0, table[n]), (1, scripts[n])):
                 i = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n), pa.int32()), pa.array(np.full(len(i), kind), pa.int32()), pa.array(i, pa.int32()), pa.array(counts[i], pa.int64())], names=["lang", "kind", "slot", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n), pa.int32()), pa.array(np.full(len(i), kind), pa.int32()), pa.array(i, pa.int32()), pa.array(counts[i].astype(np.int64), pa.int64())], names=["lang", "kind", "slot", "n"])
 
     found = mine.where(pick).select(text_col, lang_col).mapInArrow(count, "lang int, kind int, slot int, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toPandas()
     table, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((OTHER + 1, len(langs)))
@@ -222,5 +273,7 @@ def identify(docs: DataFrame, model: Model, payload: list[Column] | None = None,
                     out.append(pa.array([[dict(zip(("first", "after", "lang"), s)) for s in m.spans(x or "")] if m.langs else [] for x in texts], kind))
                 yield pa.RecordBatch.from_arrays(out, names=[*names, "lang_pred", "score", *["spans"] * spans])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}lang_pred string, score double" + ", spans array<struct<first:int,after:int,lang:string>>" * spans)
+    schema = T.StructType(kept.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
+    if spans:
+        schema.add("spans", "array<struct<first:int,after:int,lang:string>>")
+    return kept.mapInArrow(run, schema)
