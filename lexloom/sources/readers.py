@@ -50,7 +50,7 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no from 0, line): split on line feeds only, without a byte order mark, a last empty line not counted."""
-    whole = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^\ufeff", "")
+    whole = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
     text = F.regexp_replace(whole, "\n$", "")
     return spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
