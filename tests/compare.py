@@ -1,7 +1,11 @@
 """Order-insensitive comparison of a Spark result with a DuckDB one."""
 
+import os
+
 import pandas as pd
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def plain(v):
     if v is None or v is pd.NA or v is pd.NaT:

@@ -1,6 +1,6 @@
 import pytest
 from compare import rows
-from conftest import SF
+from compare import SF
 from lexloom.plans import registry
 
 
