@@ -27,8 +27,9 @@ CELLS, VNODES, SLACK, OVERHEAD = 1 << 14, 64, 0.0005, 16
 
 
 def ring(spark, n_shards: int, vnodes: int = VNODES, cells: int = CELLS) -> DataFrame:
-    """(node, cell, shard): virtual nodes numbered clockwise. n_shards * vnodes rows."""
-    nodes = spark.range(0, n_shards * vnodes, 1, 1).select((F.col("id") % n_shards).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit("node")), F.lit(cells)).alias("cell"), "id")
+    """(node, cell, shard): virtual nodes numbered clockwise. n_shards * vnodes rows; a shard's cells don't depend on how
+    many other shards there are."""
+    nodes = spark.range(0, n_shards * vnodes, 1, 1).select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit("node")), F.lit(cells)).alias("cell"), "id")
     return nodes.select("cell", "shard", (F.row_number().over(W.orderBy("cell", "id")) - 1).alias("node"))
 
 
