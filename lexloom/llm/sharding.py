@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .runtime import cut
+
 CELLS, VNODES, SLACK, OVERHEAD = 1 << 14, 64, 0.0005, 16
 
 
@@ -37,7 +39,8 @@ def homes(nodes: DataFrame, cells: int = CELLS) -> DataFrame:
     """(cell, node, shard): the next virtual node clockwise of each cell, by wrapping past the last to the first."""
     first = nodes.groupBy("cell").agg(F.min(F.struct("node", "shard")).alias("n"))
     every = nodes.sparkSession.range(0, cells, 1, 1).withColumnRenamed("id", "cell").join(first, "cell", "left")
-    ahead = F.first("n", ignorenulls=True).over(W.orderBy("cell").rowsBetween(0, W.unboundedFollowing))
+    # from the last cell down, as a frame that ends at the current row takes one pass
+    ahead = F.last("n", ignorenulls=True).over(W.orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, 0))
     lowest = F.min("n").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return every.select("cell", F.coalesce(ahead, lowest).alias("n")).select("cell", "n.node", "n.shard")
 
@@ -52,7 +55,8 @@ def shard(docs: DataFrame, n_shards: int, law: str = "rows", slack: float = SLAC
     keys = keys.withColumn("spot", spot).withColumn("cell", F.pmod("spot", F.lit(cells))).withColumn("unit", F.lit(1).cast("long") if law == "rows" else F.col("size")).withColumn("load", F.col("n") * F.col("unit"))
     nodes = F.broadcast(ring(spark, n_shards, vnodes, cells))
     home = F.broadcast(homes(nodes, cells))
-    loads = keys.groupBy("cell").agg(F.sum("load").alias("load")).join(home, "cell")
+    # at most CELLS rows; all of the ring's arithmetic starts from them, not from the documents
+    loads = cut(keys.groupBy("cell").agg(F.sum("load").alias("load")).join(home, "cell").coalesce(1))
     total = loads.agg(F.sum("load").alias("total"))
     in_shard = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
     # of each cell: what stays, and what overflows
@@ -60,7 +64,7 @@ def shard(docs: DataFrame, n_shards: int, law: str = "rows", slack: float = SLAC
     capacity = each + (F.col("shard") < more).cast("int") if law == "rows" else F.ceil(F.col("total") * F.lit((1 + slack) / n_shards))
     kept = loads.crossJoin(F.broadcast(total)).withColumn("capacity", capacity).withColumn("upto", F.sum("load").over(in_shard))
     kept = kept.withColumn("stay", F.greatest(F.lit(0), F.least("load", F.col("capacity") - F.col("upto") + F.col("load"))))
-    flow = kept.withColumn("over", F.col("load") - F.col("stay"))
+    flow = cut(kept.withColumn("over", F.col("load") - F.col("stay")).coalesce(1))
     by_shard = flow.groupBy("shard").agg(F.sum("stay").alias("held"))
     room = nodes.join(by_shard, "shard", "left").crossJoin(F.broadcast(total)).withColumn("capacity", capacity)
     rank = F.row_number().over(W.partitionBy("shard").orderBy("node"))
@@ -71,7 +75,7 @@ def shard(docs: DataFrame, n_shards: int, law: str = "rows", slack: float = SLAC
     laps = lap.withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1))))
     order = W.orderBy("lap", "node")
     laps = laps.withColumn("net", F.sum(F.col("over") - F.col("room")).over(order))
-    laps = laps.withColumn("carry", F.col("net") - F.least(F.lit(0), F.min("net").over(order)))
+    laps = cut(laps.withColumn("carry", F.col("net") - F.least(F.lit(0), F.min("net").over(order))))
     # the second lap has settled; what leaves node v there is what entered before minus what rooms took
     settled = laps.where("lap = 1").withColumn("ahead", F.first("carry").over(W.orderBy(F.desc("node")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     line = W.orderBy("node")
@@ -90,6 +94,7 @@ def shard(docs: DataFrame, n_shards: int, law: str = "rows", slack: float = SLAC
     moved = moved.select("cell", "shard", (F.greatest("lo", "start") - F.col("start") + F.col("stay")).alias("lo"), (F.least("hi", F.col("start") + F.col("over")) - F.col("start") + F.col("stay")).alias("hi"))
     stays = flow.where("stay > 0").select("cell", "shard", F.lit(0).cast("long").alias("lo"), F.col("stay").alias("hi"))
     cuts = stays.unionByName(moved).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "shard"))).alias("cuts"))
+    cuts = F.broadcast(cut(cuts.coalesce(1)))
     # rows: bytes before them in their cell, then the copies that start inside each cut
     along = W.partitionBy("cell").orderBy("spot", "doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
     at = keys.withColumn("at", F.coalesce(F.sum("load").over(along), F.lit(0))).join(cuts, "cell")
