@@ -94,7 +94,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     placed = plan(docs, {"doc_id": F.col(id_col)}, **options)
     out = placed.withColumn("position", F.when(F.col("copies") > 0, position(F.col("start"), options.get("schedules", SCHEDULES))))
-    return out.drop("class", "start").repartitionByRange(F.col("position")).sortWithinPartitions("position")
+    # documents that aren't taken share the null position, and those without words a position: a hash of the id spreads them
+    return out.drop("class", "start").repartitionByRange("position", F.xxhash64("doc_id")).sortWithinPartitions("position")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -103,7 +104,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     placed = plan(docs, {"row": row}, **options).where("copies > 0")
     copies = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     at = position(F.col("start") + F.col("epoch") * F.col("source_size"), options.get("schedules", SCHEDULES))
-    return copies.select("row", at.alias("position")).repartitionByRange("position").sortWithinPartitions("position").select("row.*")
+    return copies.select("row", at.alias("position")).repartitionByRange("position", F.xxhash64(F.col("row").getField(options.get("id_col", "doc_id")))).sortWithinPartitions("position").select("row.*")
 
 
 #: The same result in DuckDB.
