@@ -209,7 +209,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col="doc_id", text_co
     zipped = listed.select("key", F.explode(F.arrays_zip("h", "lo", "hi", "at")).alias("x"))
     every = cut(zipped.select("key", "x.h", *[F.col(f"x.{c}").cast("int").alias(c) for c in ("lo", "hi", "at")]))
     spot = F.struct("key", "at")
-    again = every.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("h")
+    # cut, so that the join below has plain shuffles on both sides and a hot anchor's rows are split among tasks
+    again = cut(every.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("h"))
     wanted = cut(every.join(again, "h").select("key", "lo", "hi", "at").distinct())
     copies = cut(long_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     shared = spark.sparkContext.broadcast(_bitmap(wanted))
