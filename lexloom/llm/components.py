@@ -25,5 +25,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
         now = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    else:
+        raise RuntimeError(f"the components have not settled after {most_rounds} rounds")
     best = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return best.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
