@@ -28,8 +28,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; documents of which nothing is left go. n_chars follows the text."""
-    left = repeats.without_repeats(docs)
+    """Passages that repeat for over 50 words, or for 400 bytes, are cut out of the texts; documents of which nothing is left go. n_chars follows the text."""
+    left = repeats.without_passages(docs)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return left.where(F.length(F.trim("text")) > 0).withColumn("n_chars", n_chars).select(*docs.columns)
 

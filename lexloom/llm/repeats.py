@@ -18,6 +18,9 @@ A core's group holds as many distinct pieces as there are ways to go on within S
 the number of texts that share it. Texts with exact copies are one text with a count. Only texts with a repeated anchor
 move; a filter of fixed size finds them, and letting more through changes no result.
 
+A passage is also told by its words (without_passages): the same search runs over texts in which every word is a code
+of CODE bytes, so that a number of words is a number of bytes, whatever the length of the words.
+
 Defined results: null text is empty; texts shorter than LENGTH lose nothing; all of a text of at least LENGTH bytes
 that occurs twice goes; a null id is kept as it is; an empty table gives no rows.
 """
@@ -25,6 +28,7 @@ that occurs twice goes; a null id is kept as it is; an empty table gives no rows
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +37,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .fingerprint import mix64
 from .neardup import by_group
-from .runtime import cut, ship
+from .runtime import WordCache, cut, ship
 from .suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM, STEP, CHUNK, BITS = 400, 64, 96, 1 << 19, 1 << 22
 PLACE = np.uint64((1 << 20) - 1)
+#: Repeats of more than WORDS words are passages; a word is CODE bytes of its hash.
+WORDS, CODE = 50, 6
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -185,12 +191,21 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 def find_repeats(docs: DataFrame, length: int = LENGTH, id_col="doc_id", text_col="text"):
     """texts (the columns of docs, key, n_bytes), found (key, spans array<struct<a,b>>: byte ranges to remove), and the
     distinct whole texts (key, raw) that may hold repeats. A text without a row in found loses nothing."""
-    spark = docs.sparkSession
-    ship(spark)
+    texts = _texts(docs, text_col)
+    return texts, *_search(texts, length)
+
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     raw = F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "UTF-8")
     texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), raw.alias("raw"))
     texts = texts.select("row", "raw", F.sha2("raw", 256).alias("sha"), F.octet_length("raw").cast("long").alias("n_bytes"))
-    texts = texts.withColumn("key", F.substring(F.unhex("sha"), 1, 16))
+    return texts.withColumn("key", F.substring(F.unhex("sha"), 1, 16))
+
+
+def _search(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """found and the distinct whole texts of find_repeats, for texts (key, raw, n_bytes)."""
+    spark = texts.sparkSession
+    ship(spark)
     long_ = texts.where(F.col("n_bytes") >= length).select("key", "raw")
 
     def find(batches):
@@ -266,7 +281,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col="doc_id", text_co
     marks = held.select("core", "piece", "key", "lo").join(starts, ["core", "piece"]).select("key", F.explode(F.transform("starts", lambda x: F.struct((F.col("lo") + x["a"]).alias("a"), (F.col("lo") + x["b"] + length).alias("b")))).alias("span"))
     spans = marks.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     found = copies.withColumn("whole", F.lit(True)).join(spans, "key", "full").select("key", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
-    return texts, found, some
+    return found, some
 
 
 def removal(docs: DataFrame, length: int = LENGTH, id_col="doc_id", text_col="text") -> DataFrame:
@@ -306,3 +321,57 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col="doc_id", text
     out = texts.select("row", "key").join(part.unionByName(all_), "key", "left")
     fields = [F.coalesce("kept", F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return out.select(*fields)
+
+
+def without_words(text: str, spans: list[tuple[int, int]], coded: list[tuple[int, int]]) -> str:
+    """A text without these ranges of its bytes and these ranges of its words' codes, of which only whole words go."""
+    raw = text.encode()
+    flags = np.ones(len(raw), bool)
+    for a, b in spans:
+        flags[a:b] = False
+    if coded:
+        words = [m.span() for m in re.finditer(r"\S+", text)]
+        codes = np.zeros(len(words) * CODE, bool)
+        for a, b in coded:
+            codes[a:b] = True
+        for a, b in runs(codes):
+            first, last = -(-a // CODE), (b + 1) // CODE - 1
+            if first <= last:
+                start, end = words[first][0], words[last][1]
+                at = len(text[:start].encode())
+                flags[at : at + len(text[start:end].encode())] = False
+    return np.frombuffer(raw, np.uint8)[flags].tobytes().decode("utf-8", "ignore")
+
+
+def without_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH, text_col="text") -> DataFrame:
+    """The columns of docs, each text without what repeats for more than `words` words (between white space, which may
+    differ) or for at least `length` bytes: scripts without spaces have passages of few words. Both are judged on the
+    input."""
+    texts = _texts(docs, text_col)
+
+    def code(batches):
+        cache = WordCache(lambda w: xxhash.xxh3_64_digest(w.encode())[:CODE])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                got = [b"".join([cache[w] for w in x.as_py().decode().split()]) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], names=["text_key", "raw"])
+
+    ship(docs.sparkSession)
+    coded = texts.select("key", "raw").mapInArrow(code, "text_key binary, raw binary")
+    coded = coded.withColumn("key", F.substring(F.unhex(F.sha2("raw", 256)), 1, 16)).withColumn("n_bytes", F.octet_length("raw").cast("long"))
+    by_bytes = cut(_search(texts, length)[0])
+    by_words = cut(_search(coded, (words + 1) * CODE)[0])
+    of_text = coded.select("text_key", "key").join(by_words, "key").select(F.col("text_key").alias("key"), F.col("whole").alias("all"), F.col("spans").alias("coded")).distinct()
+    found = by_bytes.join(of_text, "key", "full").select("key", (F.coalesce("whole", F.lit(False)) | F.coalesce("all", F.lit(False))).alias("whole"), "spans", "coded")
+
+    @F.arrow_udf("string")
+    def strip(text: pa.Array, spans: pa.Array, coded: pa.Array) -> pa.Array:
+        pairs = lambda x: [(s["a"], s["b"]) for s in x or []]
+        return pa.array([None if t is None else without_words(t, pairs(s), pairs(c)) for t, s, c in zip(text.to_pylist(), spans.to_pylist(), coded.to_pylist())], pa.string())
+
+    out = texts.select("row", "key").join(found, "key", "left")
+    text = F.col(f"row.`{text_col}`").cast("string")
+    kept = F.when(F.col("whole"), "").otherwise(F.coalesce(strip(F.when(~F.col("whole"), text), "spans", "coded"), text))
+    fields = [kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*fields)

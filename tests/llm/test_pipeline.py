@@ -1,6 +1,7 @@
 import corpus_pipeline as cp
 import hashlib
 import public_tokenizers
+import random
 from compare import SF
 from pyspark.sql import functions as F
 from test_operators import brute_components, brute_removal
@@ -42,3 +43,39 @@ def test_stages_on_edges(spark, edge, empty):
         for _, stage in cp.STAGES:
             out = stage(spark, frame, SF)
             assert out.count() <= 3 * max(1, frame.count())
+
+
+def brute_passages(texts, words=50, length=400):
+    """Texts without every repeat of over 50 words or of 400 bytes, judged on the input."""
+    import re
+    from collections import Counter
+
+    spans = [[m.span() for m in re.finditer(r"\S+", t)] for t in texts]
+    names = [[t[a:b] for a, b in s] for t, s in zip(texts, spans)]
+    seen = Counter(tuple(w[j : j + words + 1]) for w in names for j in range(len(w) - words))
+    held = Counter(t.encode()[j : j + length] for t in texts for j in range(len(t.encode()) - length + 1))
+    for t, s, w in zip(texts, spans, names):
+        raw = t.encode()
+        flags = np.ones(len(raw), bool)
+        gone = {k for j in range(len(w) - words) if seen[tuple(w[j : j + words + 1])] > 1 for k in range(j, j + words + 1)}
+        for k in gone:  # with the white space between words that go
+            flags[len(t[: s[k][0]].encode()) : len(t[: s[k + 1][0] if k + 1 in gone else s[k][1]].encode())] = False
+        for j in range(len(raw) - length + 1):
+            if held[raw[j : j + length]] > 1:
+                flags[j : j + length] = False
+        yield np.frombuffer(raw, np.uint8)[flags].tobytes().decode("utf-8", "ignore")
+
+
+def test_repeats_of_over_fifty_words(spark, docs):
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choice("abcdeéfghi") for _ in range(rng.randint(1, k)))
+    make = lambda n, k=3: " ".join(word(k) for _ in range(n))
+    short, limit, wide, chinese = make(51), make(50), make(51), "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(150))
+    assert len(short.encode()) < 400
+    texts = [f"{make(20, 9)} {x} {make(15, 9)}" for x in (short, short, limit, limit, wide, wide.replace(" ", "\n\u00a0", 20), f"{short} {short}", chinese, chinese)]
+    texts += [make(60), "", " \n "] + [make(51)] * 2
+    texts += [r["text"] for r in docs.collect()]
+    out = cp.strip_repeats(spark, spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long"), SF).collect()
+    want = {i: t for i, t in enumerate(brute_passages(texts)) if t.strip(" ")}
+    assert {r["doc_id"]: r["text"] for r in out} == want
+    assert short not in want[0] and limit in want[2] and chinese not in want[7] and all(r["n_chars"] == len(r["text"]) for r in out)
