@@ -21,10 +21,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the row of the smallest doc_id stays; of
-    rows that repeat it, one stays. The texts move only once, to meet the decisions."""
-    kept = neardup.near_duplicates(docs, percent=80, shingle=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    rows that repeat its id and text, one stays. Rows without an id count one by one, and ids need not differ."""
+    return neardup.without_duplicates(docs, percent=80, shingle=5)
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

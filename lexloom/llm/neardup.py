@@ -16,8 +16,10 @@ a cluster are confirmed on the full sets, and as components are asked for, two c
 not compared again, so a group of thousands of near copies takes little more than one pass over its sets.
 
 Defined results: null text, and texts without words, have the empty set and are linked with nothing; a text of fewer
-words than a shingle is one shingle; repeated rows are linked; a null id takes part, and is never the smallest unless
-its component has no other, when component_id is null and the row is kept; an empty table gives no rows.
+words than a shingle is one shingle; repeated rows are linked; component_id is the least id of the component that is not
+null, and null if there is none. Ids need not differ: classes are told by their sets, and rows by id and text together.
+Of every component one such row is kept, of the least id, with all rows that repeat its id and text. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -114,19 +116,39 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def row_key(id_col: str, text_col: str):
+    """128 bits of a row's id and text, nulls apart from all values."""
+    doc_id, text = F.col(f"`{id_col}`").cast("long").cast("string"), F.col(f"`{text_col}`").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id, F.lit("")), F.coalesce(F.concat(F.lit(" "), text), F.lit("")))))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col="doc_id", text_col="text", trees: int = TREES, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; ids are integers."""
+    return _decided(docs, percent, shingle, id_col, text_col, trees, small).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col="doc_id", text_col="text", trees: int = TREES, small: int = SMALL) -> DataFrame:
+    """The rows of docs that are kept; of rows with equal id and text, one. The join and the choice of one share a key,
+    so the texts move only once."""
+    kept = _decided(docs, percent, shingle, id_col, text_col, trees, small).where("kept").select(F.col("row_key").alias("__row_key")).distinct()
+    rows = docs.withColumn("__row_key", row_key(id_col, text_col)).join(kept, "__row_key", "left_semi")
+    return rows.dropDuplicates(["__row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _decided(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str, trees: int, small: int) -> DataFrame:
     ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
 
     def sketches(batches):
         for batch in batches:
             got = [sketch(x.as_py(), shingle) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["doc_id", "row_key", "n_shingles", "set_key", "tokens"])
 
-    every = cut(texts.mapInArrow(sketches, "doc_id long, n_shingles long, set_key binary, tokens array<long>"))
-    classes = every.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.first("tokens").alias("tokens"))
-    classes = cut(classes.select("set_key", F.coalesce("low", F.xxhash64("set_key")).alias("label"), "tokens"))
+    every = cut(texts.mapInArrow(sketches, "doc_id long, row_key binary, n_shingles long, set_key binary, tokens array<long>"))
+    # of a class, the row of the least id; no id comes last
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    classes = every.where("n_shingles > 0").groupBy("set_key").agg(one.alias("one"), F.first("tokens").alias("tokens"))
+    classes = cut(classes.select("set_key", F.xxhash64("set_key").alias("label"), "one", "tokens"))
     clusters = cut(_clusters(classes, trees, small))
     wanted = clusters.select("label").distinct()
 
@@ -135,13 +157,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 found = [np.unique(shingle_hashes(x.as_py(), shingle)).tobytes() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(f) for f in found], pa.binary()), pa.array(found, pa.binary())], names=["label", "set_key", "members"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["label", "members"])
 
-    keys = classes.join(wanted, "label", "left_semi").select("label", "set_key")
-    hashed = every.where("n_shingles > 0").join(keys.withColumnRenamed("set_key", "k"), (F.col("set_key") == F.col("k")) & (F.coalesce("doc_id", F.xxhash64("set_key")) == F.col("label")), "left_semi")
-    chosen = hashed.select("doc_id").distinct()
-    full = texts.join(chosen.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").mapInArrow(sets, "label long, set_key binary, members binary")
-    full = full.withColumn("label", F.coalesce("label", F.xxhash64("set_key"))).join(keys, ["label", "set_key"], "left_semi").drop("set_key")
+    keys = classes.join(wanted, "label", "left_semi").select(F.col("one.row_key").alias("row_key"), "label")
+    full = texts.select("row_key", "text").join(keys.hint("shuffle_hash"), "row_key").dropDuplicates(["row_key"])
+    full = full.select("label", "text").mapInArrow(sets, "label long, members binary")
     loaded = clusters.join(full, "label").repartition("cluster").sortWithinPartitions("cluster", "label")
 
     def confirm(batches):
@@ -152,13 +172,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
             yield pa.RecordBatch.from_arrays([pa.array(labels[[a for a, _ in found]], pa.int64()), pa.array(labels[[b for _, b in found]], pa.int64())], names=["a", "b"])
 
     found = components(loaded.select("cluster", "label", "members").mapInArrow(confirm, "a long, b long"))
-    named = classes.select("set_key", "label").join(found, F.col("label") == F.col("node"), "left").select("set_key", F.coalesce("component", "label").alias("label"), F.coalesce("component", "label").alias("component"))
-    least = every.where("doc_id is not null and n_shingles > 0").select("set_key").distinct().join(named, "set_key").select("component").distinct().withColumn("has_id", F.lit(True))
-    named = named.join(least, "component", "left").select("set_key", "component", "has_id")
-    out = every.drop("tokens").join(named, "set_key", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("has_id"), F.col("component"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.select("set_key", "label", "one").join(found, F.col("label") == F.col("node"), "left").select("set_key", F.coalesce("component", "label").alias("component"), "one")
+    best = named.groupBy("component").agg(F.min("one").alias("best"))
+    out = every.drop("tokens").join(named.join(best, "component").select("set_key", "best"), "set_key", "left")
+    alone = F.col("n_shingles") == 0
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), (alone | (F.col("row_key") == F.col("best.row_key"))).alias("kept"))
 
 
 def _clusters(classes: DataFrame, trees: int, small: int) -> DataFrame:

@@ -4,7 +4,7 @@ import public_tokenizers
 import random
 from compare import SF
 from pyspark.sql import functions as F
-from test_operators import brute_components, brute_removal
+from test_operators import brute_components, brute_removal, near_texts
 from tokenizers import Tokenizer
 
 import numpy as np
@@ -38,6 +38,26 @@ def test_stages_against_plain_versions(spark, docs, tmp_path):
         docs, held = new, rows
 
 
+def test_near_dedup_keeps_one_row_of_every_component(spark):
+    """Null ids, and ids that several texts share; survivors are told by their place in n_chars."""
+    texts = [t for _, t in near_texts(150, 4)]
+    rng = random.Random(8)
+    ids = [None if rng.random() < 0.4 else rng.randint(1, 25) for _ in texts]
+    held = [(i, t, "en", "a", n) for n, (i, t) in enumerate(zip(ids, texts))]
+    comp = brute_components(list(enumerate(texts)), 5, 80)
+    groups = {}
+    for n, (_, c) in comp.items():
+        groups.setdefault(c if texts[n] else ("empty", ids[n]), []).append(n)
+    out = [r["n_chars"] for r in cp.deduplicate(spark, spark.createDataFrame(held, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()]
+    assert len(out) == len(groups) and sum(ids[n] is None for n in out) > 5
+    for rows in groups.values():
+        (one,) = [n for n in out if n in rows]
+        assert ids[one] == min((ids[n] for n in rows if ids[n] is not None), default=None)
+    five = [(None, "a b c d e f g", "en", "a", 1), (None, "h i j k l m n", "en", "a", 2), (7, "o p q r s t u", "en", "a", 3), (7, "v w x y z a b", "en", "a", 4), (None, "o p q r s t u", "en", "a", 5), (None, "a b c d e f g", "en", "a", 6)]
+    out = cp.deduplicate(spark, spark.createDataFrame(five, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
+    assert sorted(min(r["n_chars"], 1) if r["text"][0] == "a" else r["n_chars"] for r in out) == [1, 2, 3, 4]
+
+
 def test_stages_on_edges(spark, edge, empty):
     for frame in (edge, empty):
         for _, stage in cp.STAGES:
