@@ -114,6 +114,27 @@ def find_terms(texts: DataFrame, row_id: str, tokens: Column, terms: DataFrame)
     return hit.select("row_id", "term_id").distinct()
 
 
+def contained(docs: DataFrame, items: DataFrame, most: int = 10_000) -> DataFrame:
+    """(item_id, doc_id) of documents (doc_id, text) that contain an item (item_id, needle) as a substring, for each pair of
+    rows. Up to `most` items are broadcast; of more, those with three whole words between their first and last join on
+    these words, cut by the same white space on both sides, and the others are broadcast in blocks of `most`."""
+    if (count := items.count()) <= most:
+        return docs.join(F.broadcast(items), F.contains("text", "needle")).select("item_id", "doc_id")
+    pieces = lambda c: F.split(F.col(c), r"\s+")
+    # the first and the last piece of an item may go on in the document; what is between is whole there too
+    keyed = items.withColumn("__w", pieces("needle"))
+    long_ = keyed.where("size(__w) >= 5").select("item_id", "needle", F.expr("slice(__w, 2, 3)").alias("__k"))
+    grams = F.expr("transform(sequence(1, size(__w) - 2), i -> slice(__w, i, 3))")
+    at = docs.withColumn("__w", pieces("text")).where("size(__w) >= 3").select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("__k"))
+    out = at.join(long_, "__k").where(F.contains("text", "needle")).select("item_id", "doc_id")
+    short = keyed.where("size(__w) < 5 and needle is not null").select("item_id", "needle")
+    blocks = -(-count // most)
+    for b in range(blocks):
+        part = short.where(F.pmod(F.xxhash64("item_id", "needle"), F.lit(blocks)) == b)
+        out = out.unionByName(docs.join(F.broadcast(part), F.contains("text", "needle")).select("item_id", "doc_id"))
+    return out
+
+
 # -- windows ---------------------------------------------------------------------------------------------------------
 
 

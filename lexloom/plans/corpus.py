@@ -273,11 +273,6 @@ def jn13_ag16_disjointness(spark, d):
 
 @query("SELECT i.item_id, d.doc_id FROM benchmark i JOIN documents d ON contains(d.text, i.text)")
 def jn16_containment(spark, d):
-    """Documents that contain a whole benchmark item. Items are a small side by contract: their number is checked before
-    the broadcast, and larger sets take the join on their first words instead."""
+    """Documents that contain a whole benchmark item."""
     items, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle")), table(spark, d, "documents").select("doc_id", "text")
-    if items.count() > 10_000:
-        first = lambda c: F.slice(T.words(F.col(c)), 2, 3)
-        keys = docs.select("doc_id", "text", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(1, size(split(text, '\\\\s+')) - 2)), i -> slice(split(text, '\\\\s+'), i, 3))"))).alias("k"))
-        return items.withColumn("k", first("needle")).join(keys, "k").where(F.contains("text", "needle")).select("item_id", "doc_id").distinct()
-    return docs.join(F.broadcast(items), F.contains("text", "needle")).select("item_id", "doc_id")
+    return R.contained(docs, items)
