@@ -81,8 +81,9 @@ def shard(docs: DataFrame, n_shards: int, law: str = "rows", slack: float = SLAC
     line = W.orderBy("node")
     settled = settled.withColumn("entered", F.sum("over").over(line)).withColumn("upper", F.col("entered") + F.col("ahead") - F.col("carry"))
     # overflow bytes lie on an axis that starts with what the last lap carried over: [lower, upper) goes to the node
-    segments = settled.withColumn("lower", F.coalesce(F.lag("upper").over(line), F.lit(0))).where("upper > lower")
-    segments = segments.withColumn("whole", F.max("entered").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    # whole is taken over all nodes, those that take nothing included: the overflow that entered at the last ones counts
+    segments = settled.withColumn("whole", F.max("entered").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    segments = segments.withColumn("lower", F.coalesce(F.lag("upper").over(line), F.lit(0))).where("upper > lower")
     # byte b of the overflow (0 at node 0) is at b + ahead on that axis, and those that wrap are at b + ahead - whole
     spans = segments.select("shard", F.col("lower").alias("lo"), F.col("upper").alias("hi"), "ahead", "whole")
     spans = spans.select("shard", "lo", "hi", "ahead", "whole", F.explode(F.array(F.col("ahead"), F.col("ahead") - F.col("whole"))).alias("shift"))

@@ -92,6 +92,26 @@ def test_mixing_inverts_its_schedule(spark):
 # -- 3 sharding
 
 
+def check_shards(out, held, n, law):
+    """Every row once, with its size and checksum; gapless slots; balance by the law."""
+    want = Counter((r["doc_id"], 16 + len((r["text"] or "").encode()), zlib.crc32((r["text"] or "").encode())) for r in held)
+    assert Counter(zip(out.doc_id, out["size"], out.text_crc32)) == want
+    sizes = out.groupby("shard")["slot"].agg(["min", "max", "count", "nunique"])
+    assert (sizes["min"] == 0).all() and (sizes["max"] + 1 == sizes["count"]).all() and (sizes["nunique"] == sizes["count"]).all() and out["shard"].between(0, n - 1).all()
+    if law == "rows":
+        assert len(sizes) == min(n, len(held)) and sizes["count"].max() - sizes["count"].min() <= 1
+    else:
+        assert out.groupby("shard")["size"].sum().max() <= out["size"].sum() / n * (1 + sharding.SLACK) + 30 * out["size"].max()
+
+
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_sharding_loses_and_repeats_no_row(spark, law):
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").cache()
+    held = more.collect()
+    for n in (2, 3, 20, 40, 41, 64):
+        check_shards(sharding.shard(more, n, law=law).toPandas(), held, n, law)
+
+
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_sharding_is_balanced_and_gapless(docs, law):
     out = sharding.shard(docs.unionByName(docs.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(90)))).drop("n")), 7, law=law).toPandas()
