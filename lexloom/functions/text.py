@@ -31,6 +31,15 @@ CURRENCIES = {
     "eur": "EUR", "евро": "EUR", "евра": "EUR", "еври": "EUR", "euro": "EUR", "eur o": "EUR",
 }
 LANGUAGE_SCORES = {"MK": 1.0, "SR": 0.4}
+CYRILLIC_NARROW, LATIN_NARROW = "[\\u0400-\\u04FF]", "[A-Za-zÇçËë]"
+_LETTERS = "A-Za-zÇçËë"
+REDACTIONS = (("national_id", r"(?<!\d)\d{13}(?!\d)", "[ID-NUMBER]"), ("passport", r"(?U)\b[A-ZА-Шa-zа-ш]{1,2}\d{6,9}\b", "[DOC-NUMBER]"))
+PERSON_CUES = (
+    ("first", r"на\s+име\b", "issued in the name of"), ("first", r"\bизгубен[аиo]?\b", "lost document notice"), ("first", r"\bроден[аи]?\s+на\b", "born on"),
+    ("first", r"лична\s+карта", "identity card"), ("first", r"\bпасош", "passport"), ("first", r"\b(?:диплома|свидетелств)", "diploma / certificate"),
+    ("second", r"\b[ie]\s+humbur\b", "lost"), ("second", r"shpallet\s+i\s+pavlefsh", "declared invalid"), ("second", r"\bpasaport", "passport"),
+    ("second", r"\bletërnjoftim", "identity card"), ("second", r"\bdiplom", "diploma"),
+)
 
 
 # -- six normalisations ----------------------------------------------------------------------------------------------
@@ -68,12 +77,12 @@ def norm_lower_ws(text: Column) -> Column:
     return collapse(F.lower(text))
 
 
-def norm_casefold_nopunct(text: Column, fold=F.lower) -> Column:
-    """Pass fold=casefold where the alphabet has letters that lower() leaves apart."""
+def norm_casefold_nopunct(text: Column, fold=casefold) -> Column:
+    """fold=F.lower stays in the JVM, where the alphabet has no letters that lower() leaves apart."""
     return collapse(F.regexp_replace(fold(text), r"(?U)[^\w\s]", ""))
 
 
-def norm_casefold_nonword(text: Column, fold=F.lower) -> Column:
+def norm_casefold_nonword(text: Column, fold=casefold) -> Column:
     return F.trim(F.regexp_replace(fold(text), r"(?U)\W+", " "))
 
 
@@ -90,7 +99,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    """Null for null text."""
+    return F.when(text.isNotNull(), F.size(words(text)))
 
 
 def word_tokens(text: Column) -> Column:
@@ -168,8 +178,15 @@ def normalise_numbers(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(StringType()))
 def money_values(amounts: pd.Series, units: pd.Series) -> pd.Series:
-    value = lambda a, u: f"{plain_number(a)} {CURRENCIES.get(u.casefold(), u.upper())}"
-    return pd.Series([None if a is None else sorted({value(x, y) for x, y in zip(a, u)}) for a, u in zip(amounts, units)])
+    """Sums of money as "amount code"; a unit outside CURRENCIES is its own code."""
+    out = []
+    for numbers, names in zip(amounts, units):
+        if numbers is None:
+            out.append(None)
+            continue
+        codes = (CURRENCIES.get(n.casefold()) or n.upper() for n in names)
+        out.append(sorted({" ".join(x) for x in zip(map(plain_number, numbers), codes)}))
+    return pd.Series(out)
 
 
 def family_values(text: Column, family: str) -> Column:
@@ -238,16 +255,6 @@ def preview(text: Column, size: int = 60) -> Column:
 
 # -- repair and release ----------------------------------------------------------------------------------------------
 
-_LETTERS = "A-Za-zÇçËë"
-REDACTIONS = (("national_id", r"(?<!\d)\d{13}(?!\d)", "[ID-NUMBER]"), ("passport", r"(?U)\b[A-ZА-Шa-zа-ш]{1,2}\d{6,9}\b", "[DOC-NUMBER]"))
-PERSON_CUES = (
-    ("first", r"на\s+име\b", "issued in the name of"), ("first", r"\bизгубен[аиo]?\b", "lost document notice"), ("first", r"\bроден[аи]?\s+на\b", "born on"),
-    ("first", r"лична\s+карта", "identity card"), ("first", r"\bпасош", "passport"), ("first", r"\b(?:диплома|свидетелств)", "diploma / certificate"),
-    ("second", r"\b[ie]\s+humbur\b", "lost"), ("second", r"shpallet\s+i\s+pavlefsh", "declared invalid"), ("second", r"\bpasaport", "passport"),
-    ("second", r"\bletërnjoftim", "identity card"), ("second", r"\bdiplom", "diploma"),
-)
-
-
 def repair_bracket(text: Column) -> Column:
     """A [ that touches a Latin letter is a misread letter."""
     return F.regexp_replace(text, rf"(?<=[{_LETTERS}])\[|\[(?=[{_LETTERS}])", "ë")
@@ -299,21 +306,16 @@ def person_cues(first: Column, second: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.regexp_like(F.coalesce(side[s], F.lit("")), F.lit("(?iuU)" + p)), label) for s, p, label in PERSON_CUES]))
 
 
-@F.pandas_udf(StringType())
-def clean_headword(text: pd.Series) -> pd.Series:
-    """Bracketed tails, inflection tails and punctuation go until nothing changes; all-caps words are lower-cased."""
-    tail = re.compile(r"(?:\s*\([^()]*\)[\s;:,.]*|,\s*-\s*[^\s,]+|[;:,]+|\s+)$")
-
-    def one(x):
-        if x is None:
-            return None
-        x = x.strip()
-        while (y := tail.sub("", x).strip()) != x:
-            x = y
-        x = re.sub(r"\s+", " ", x)
-        return x.lower() if x.isupper() and len(x) > 4 else x
-
-    return text.map(one)
+#: What may end a headword without being part of it: bracketed notes, inflections, separators.
+HEADWORD_TAILS = r"(?:\s*\([^()]*\)[\s;:,.]*|,\s*-\s*[^\s,]+|[;:,]+|\s+)+$"
+
+
+def clean_headword(text: Column) -> Column:
+    """The entry without its tails, however many follow each other; words in capitals of over four characters become
+    lower-case."""
+    bare = collapse(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), "(?U)" + HEADWORD_TAILS, ""))
+    capitals = (F.upper(bare) == bare) & (F.lower(bare) != bare) & (F.length(bare) > 4)
+    return F.when(capitals, F.lower(bare)).otherwise(bare)
 
 
 def term_hit(tokens: Column, need: Column) -> Column:
