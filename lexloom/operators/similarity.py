@@ -61,22 +61,37 @@ def minhash_affine(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+_SHA_COEFFICIENTS: list[np.ndarray] = []
+
+
+def _sha_coefficients() -> np.ndarray:
+    if not _SHA_COEFFICIENTS:
+        rng = np.random.RandomState(1)
+        _SHA_COEFFICIENTS.append(np.array([(rng.randint(1, int(MERSENNE), dtype=np.uint64), rng.randint(0, int(MERSENNE), dtype=np.uint64)) for _ in range(PERMUTATIONS)], np.uint64).T)
+    return _SHA_COEFFICIENTS[0]
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def minhash_sha(texts: pd.Series) -> pd.Series:
-    """128 minima over the first four SHA-1 bytes of each shingle, permuted modulo the Mersenne prime 2^61 - 1."""
-    rng = np.random.RandomState(1)
-    ab = np.array([(rng.randint(1, int(MERSENNE), dtype=np.uint64), rng.randint(0, int(MERSENNE), dtype=np.uint64)) for _ in range(PERMUTATIONS)], np.uint64).T
-
-    def one(text):
-        h = np.array([int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in set(_grams(text or ""))], np.uint64)
+    """128 minima over the first four SHA-1 bytes of each shingle, permuted modulo the Mersenne prime 2^61 - 1. Texts of one
+    batch share most shingles, so each distinct one is hashed once."""
+    a, b = _sha_coefficients()
+    grams = [set(_grams(x or "")) for x in texts]
+    known = {g: int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in set().union(*grams)} if grams else {}
+
+    def one(found):
+        h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         if not len(h):
             return None
         low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint64)
         for start in range(0, len(h), 2048):
-            low = np.minimum(low, ((ab[0][:, None] * h[start : start + 2048] + ab[1][:, None]) % MERSENNE & np.uint64(0xFFFFFFFF)).min(axis=1))
+            x = a[:, None] * h[start : start + 2048] + b[:, None]
+            x = (x & MERSENNE) + (x >> np.uint64(61))  # modulo 2^61 - 1, without dividing
+            x = np.where(x >= MERSENNE, x - MERSENNE, x)
+            low = np.minimum(low, (x & np.uint64(0xFFFFFFFF)).min(axis=1))
         return low.astype(np.int64)
 
-    return texts.map(one)
+    return pd.Series([one(g) for g in grams], dtype=object)
 
 
 def bands(signature: Column, number: int = 16) -> Column:
@@ -88,27 +103,33 @@ def estimated_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / PERMUTATIONS
 
 
+def _met(probes: DataFrame, train: DataFrame, number: int) -> DataFrame:
+    """(p, t) that collide in a band, and in how many. Only ids and band hashes meet."""
+    banded = lambda df, n: df.select(n, F.explode(bands(F.col(f"{n}_sig"), number)).alias("band"))
+    return banded(probes, "p").join(banded(train, "t"), "band").groupBy("p", "t").agg(F.count(F.lit(1)).alias("bands"))
+
+
 def best_match(train: DataFrame, probes: DataFrame, key: str, text: str, number: int = 8, family=minhash_sha) -> DataFrame:
     """For each probe, the train row of the highest estimated Jaccard among band collisions (ties: the larger key).
     Columns: key, match_key, max_jaccard (0 without a candidate). Equal train texts are one candidate."""
-    t = train.groupBy(F.col(text).alias("t")).agg(F.max(key).alias("t_key")).select("t_key", family("t").alias("t_sig"))
-    p = probes.select(F.col(key).alias("p_key"), family(F.col(text)).alias("p_sig"))
-    met = p.select("p_key", "p_sig", F.explode(bands(F.col("p_sig"), number)).alias("band")).join(t.select("t_key", "t_sig", F.explode(bands(F.col("t_sig"), number)).alias("band")), "band")
-    scored = met.select("p_key", F.struct(estimated_jaccard(F.col("p_sig"), F.col("t_sig")).alias("score"), F.col("t_key").alias("t_key")).alias("m"))
-    best = scored.groupBy("p_key").agg(F.max("m").alias("m"))
-    return p.select("p_key").join(best, "p_key", "left").select(F.col("p_key").alias(key), F.col("m.t_key").alias("match_key"), F.coalesce("m.score", F.lit(0.0)).alias("max_jaccard"))
+    t = train.groupBy(F.col(text).alias("t_text")).agg(F.max(key).alias("t")).select("t", family("t_text").alias("t_sig"))
+    p = probes.select(F.col(key).alias("p"), family(F.col(text)).alias("p_sig"))
+    scored = _met(p, t, number).join(p, "p").join(t, "t").select("p", F.struct(estimated_jaccard(F.col("p_sig"), F.col("t_sig")).alias("score"), "t").alias("m"))
+    best = scored.groupBy("p").agg(F.max("m").alias("m"))
+    return p.select("p").join(best, "p", "left").select(F.col("p").alias(key), F.col("m.t").alias("match_key"), F.coalesce("m.score", F.lit(0.0)).alias("max_jaccard"))
 
 
-def near_matches(train: DataFrame, probes: DataFrame, key: str, text: str, threshold: float = 0.8, most: int = 200) -> DataFrame:
-    """(key, best_jaccard) of probes with a train text of at least the threshold: the `most` candidates that collide in
-    most bands are verified exactly."""
+def near_matches(train: DataFrame, probes: DataFrame, key: str, text: str, threshold: float = 0.8, most: int | None = None) -> DataFrame:
+    """(key, best_jaccard) of probes with a train text of at least the threshold. All texts that collide in a band are
+    compared exactly; with `most`, only the candidates that collide in most bands, as a cost limit."""
     norm = lambda df, n: df.select(F.col(key).alias(n), F.col(text).alias(f"{n}_text")).withColumn(f"{n}_sig", minhash_affine(F.col(f"{n}_text")))
     t = norm(train.dropDuplicates([text]), "t")
     p = norm(probes, "p")
-    met = p.select("p", F.explode(bands(F.col("p_sig"))).alias("band")).join(t.select("t", F.explode(bands(F.col("t_sig"))).alias("band")), "band").groupBy("p", "t").count()
-    kept = met.withColumn("r", F.row_number().over(W.partitionBy("p").orderBy(F.desc("count"), "t"))).where(F.col("r") <= most)
+    met = _met(p, t, 16)
+    if most is not None:
+        met = met.withColumn("r", F.row_number().over(W.partitionBy("p").orderBy(F.desc("bands"), "t"))).where(F.col("r") <= most)
     sets = lambda df, n: df.select(n, shingle_set(F.col(f"{n}_text")).alias(f"{n}_set"))
-    scored = kept.join(sets(p, "p"), "p").join(sets(t, "t"), "t").withColumn("j", jaccard(F.col("p_set"), F.col("t_set")))
+    scored = met.select("p", "t").join(sets(p, "p"), "p").join(sets(t, "t"), "t").withColumn("j", jaccard(F.col("p_set"), F.col("t_set")))
     return scored.where(F.col("j") >= threshold).groupBy(F.col("p").alias(key)).agg(F.max("j").alias("best_jaccard"))
 
 
@@ -118,3 +139,65 @@ def side_label(first_hit: Column, second_hit: Column, names: tuple[str, str] = (
 
 def overlap_class(exact: Column, best: Column, threshold: float = 0.8) -> Column:
     return F.when(exact, "exact_template").when(F.coalesce(best, F.lit(0.0)) >= threshold, "near_duplicate").otherwise("novel")
+
+
+def best_side_key(first_score: Column, second_score: Column, first_key: Column, second_key: Column) -> Column:
+    """The match behind the higher score; the first side wins ties, and a null score loses."""
+    a, b = F.coalesce(first_score, F.lit(-1.0)), F.coalesce(second_score, F.lit(-1.0))
+    return F.when(first_score.isNull() & second_score.isNull(), None).when(a >= b, first_key).otherwise(second_key)
+
+
+def near_duplicate_report(df: DataFrame, key: str, split: str, sides: tuple[str, str], threshold: float = 0.85, number: int = 8, family=minhash_sha) -> DataFrame:
+    """Of every pair that is not in train and whose first or second text (sides) nearly repeats one in train: the row, side
+    (which), near_dup_max_jaccard, the key of the train pair behind the higher score, and its texts."""
+    train, held = df.where(F.col(split) == "train"), df.where(F.col(split) != "train")
+    out = held
+    for s in sides:
+        found = best_match(train, held, key, s, number, family)
+        out = out.join(found.select(F.col(key).alias("__k"), F.col("match_key").alias(f"__m_{s}"), F.col("max_jaccard").alias(f"__j_{s}")), out[key] == F.col("__k")).drop("__k")
+    (a, b), m = (F.col(f"__j_{s}") for s in sides), [F.col(f"__m_{s}") for s in sides]
+    hits = [F.col(f"__j_{s}") >= threshold for s in sides]
+    out = out.where(hits[0] | hits[1]).withColumns({"side": side_label(*hits, names=sides), "near_dup_max_jaccard": F.greatest(a, b), "train_match": best_side_key(a, b, *m)})
+    texts = train.select(F.col(key).alias("__t"), *[F.col(s).alias(f"train_match_{s}") for s in sides])
+    return out.join(texts, F.col("train_match") == F.col("__t"), "left").drop("__t", *[f"__{x}_{s}" for x in "mj" for s in sides])
+
+
+def partner_cosines(rows: DataFrame, key: str, vector: str, partners: DataFrame, k: int) -> DataFrame:
+    """(key, cosines): of each row the cosines with its partners (key, partner, rank), in order of rank, null where a rank
+    up to k has none or the partner has no vector."""
+    own = rows.select(F.col(key).alias("__a"), F.col(vector).alias("__x"))
+    other = rows.select(F.col(key).alias("__b"), F.col(vector).alias("__y"))
+    met = partners.where(F.col("rank") <= k).join(own, F.col(key) == F.col("__a")).join(other, F.col("partner") == F.col("__b"), "left")
+    scored = met.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rank", cosine(F.col("__x"), F.col("__y")).alias("c")))).alias("__m"))
+    every = rows.select(key).join(scored, key, "left")
+    return every.select(key, F.transform(F.sequence(F.lit(1), F.lit(k)), lambda r: F.try_element_at("__m", r)).alias("cosines"))
+
+
+def factor_codes(df: DataFrame, text: Column, name: str = "code") -> DataFrame:
+    """df with a code for each distinct text: 63 bits of its SHA-1, equal in every run. It needs no order of all texts."""
+    return df.withColumn(name, F.conv(F.substring(F.sha1(text), 1, 15), 16, 10).cast("long"))
+
+
+def content_sha256(df: DataFrame, position: str, *columns: str) -> str:
+    """SHA-256 of the rows in the order of their positions, each as a JSON array of strings. Row digests are made on the
+    executors; the driver streams them in order, a partition at a time, so the table never gathers there."""
+    values = [F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r'(["\\])', r"\\$1"), "\n", r"\\n"), F.lit('"')) for c in columns]
+    line = F.concat(F.lit("["), F.concat_ws(", ", *values), F.lit("]"))
+    total = hashlib.sha256()
+    for r in df.select(position, F.sha2(line, 256).alias("d")).orderBy(position).select("d").toLocalIterator():
+        total.update(bytes.fromhex(r["d"]))
+    return total.hexdigest()
+
+
+def run_fingerprint(settings: dict, ids: DataFrame, position: str, key: str) -> str:
+    """SHA-256 over a run's settings and its rows' ids in order."""
+    import json
+
+    return hashlib.sha256(f"{json.dumps(settings, sort_keys=True)}\n{content_sha256(ids, position, key)}".encode()).hexdigest()
+
+
+def refuse_mixed_runs(stored: str | None, current: str, where: str) -> str:
+    """The fingerprint to store; parts of two runs must not lie in one folder."""
+    if stored is not None and stored != current:
+        raise ValueError(f"{where} holds parts of another run: {stored[:12]}, not {current[:12]}")
+    return current

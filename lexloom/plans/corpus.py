@@ -35,10 +35,22 @@ _NUM = r"regexp_extract_all({}, '\d+(?:[./\-]\d+)*')"
 _RICH = r"regexp_extract_all({}, '\d+(?:[./\-]\d+)+|\d{{3,}}')"
 
 
-@query(", n AS (SELECT pair_id, " + _NUM.format("mk") + " AS a, " + _NUM.format("sq") + " AS b, " + _RICH.format("mk") + " AS x, " + _RICH.format("sq") + " AS y FROM p) SELECT pair_id, len(a) AS mk_numerals, " + JACC.format(a="a", b="b") + " AS numeric_overlap, CASE WHEN len(x) = 0 OR len(y) = 0 THEN NULL ELSE NOT list_has_any(x, y) END AS contradicts, list_sort(a) = list_sort(b) AS same_runs FROM n", pairs=True)
+_NUMBERED = ", q AS (SELECT pair_id, mk || ' 12 25-309/' || (pair_id % 3) || ' x' || (pair_id % 5) AS mk, sq || ' 25-309/' || (pair_id % 2) || ' 12 y' || (pair_id % 4) AS sq FROM p WHERE pair_id % 7 <> 0 UNION ALL SELECT pair_id, mk, sq FROM p WHERE pair_id % 7 = 0)"
+
+
+def _numbered(spark, d):
+    """Pairs whose texts mention numbers, but for one in seven."""
+    p, i = pairs(spark, d), F.col("pair_id")
+    mk, sq = F.concat("mk", F.lit(" 12 25-309/"), i % 3, F.lit(" x"), i % 5), F.concat("sq", F.lit(" 25-309/"), i % 2, F.lit(" 12 y"), i % 4)
+    return p.withColumns({"mk": F.when(i % 7 != 0, mk).otherwise(F.col("mk")), "sq": F.when(i % 7 != 0, sq).otherwise(F.col("sq"))})
+
+
+@query(_NUMBERED + ", n AS (SELECT pair_id, " + _NUM.format("mk") + " AS a, " + _NUM.format("sq") + " AS b, " + _RICH.format("mk") + " AS x, " + _RICH.format("sq") + " AS y, regexp_extract_all(mk, '[0-9]+') AS r, regexp_extract_all(sq, '[0-9]+') AS t FROM q), o AS (SELECT *, " + JACC.format(a="a", b="b") + " AS j FROM n) SELECT pair_id, len(a) AS mk_numerals, j AS numeric_overlap, CASE WHEN j IS NULL THEN 'no numerals' WHEN j = 1 THEN 'full' WHEN j = 0 THEN 'none' ELSE 'partial' END AS category, CASE WHEN len(x) = 0 OR len(y) = 0 THEN NULL ELSE NOT list_has_any(x, y) END AS contradicts, list_sort(r) = list_sort(t) AS same_runs FROM o", pairs=True)
 def sf5_sf7_sf9_numerals(spark, d):
-    a, b = T.numerals(F.col("mk")), T.numerals(F.col("sq"))
-    return pairs(spark, d).select("pair_id", F.size(a).alias("mk_numerals"), T.set_jaccard(a, b).alias("numeric_overlap"), T.contradicts(F.col("mk"), F.col("sq")).alias("contradicts"), (F.array_sort(a) == F.array_sort(b)).alias("same_runs"))
+    mk, sq = F.col("mk"), F.col("sq")
+    a, b = T.numerals(mk), T.numerals(sq)
+    p = _numbered(spark, d).select("pair_id", F.size(a).alias("mk_numerals"), T.set_jaccard(a, b).alias("numeric_overlap"), T.contradicts(mk, sq).alias("contradicts"), T.same_digit_runs(mk, sq).alias("same_runs"))
+    return p.withColumn("category", T.overlap_category(F.col("numeric_overlap")))
 
 
 _QUALITY_SQL = ", q AS (SELECT pair_id, " + JACC.format(a=_NUM.format("mk"), b=_NUM.format("sq")) + " AS j, CASE WHEN greatest(length(mk), length(sq)) > 0 THEN least(length(mk), length(sq))::DOUBLE / greatest(length(mk), length(sq)) ELSE 0.0 END AS lr, trim(mk) = '' OR trim(sq) = '' AS empty, ((pair_id % 97) / 97.0)::DOUBLE AS conf, CASE WHEN pair_id % 5 = 0 THEN NULL ELSE ((pair_id % 31) / 31.0)::DOUBLE END AS ocr_a, CASE WHEN pair_id % 7 = 0 THEN NULL ELSE ((pair_id % 13) / 13.0)::DOUBLE END AS ocr_b FROM p), m AS (SELECT pair_id, greatest(0.0, least(1.0, (conf - 0.76::DOUBLE) / (0.95::DOUBLE - 0.76::DOUBLE))) * (CASE WHEN ocr_a IS NULL AND ocr_b IS NULL THEN 1.0 ELSE greatest(0.0, least(1.0, (least(ocr_a, ocr_b) - 0.5::DOUBLE) / (0.85::DOUBLE - 0.5::DOUBLE))) END) * (CASE WHEN conf < 0.76::DOUBLE THEN 0.35::DOUBLE ELSE 1.0 END) * (CASE WHEN empty THEN 0.0 ELSE 1.0 END) AS matcher_term, coalesce(j, 0.5) * 0.35::DOUBLE + 0.5 * 0.3::DOUBLE + 0.5 * 0.2::DOUBLE + lr * 0.15::DOUBLE AS text_term FROM q) SELECT pair_id, matcher_term, text_term, sqrt(matcher_term * text_term) AS quality_confidence FROM m"
@@ -56,10 +68,16 @@ def p1_quality_score(spark, d):
     return p.withColumn("quality_confidence", F.sqrt(F.col("matcher_term") * F.col("text_term")))
 
 
-@query("SELECT pair_id, trim(mk) = '' OR trim(sq) = '' AS either_empty, length(mk) < 20 OR length(sq) < 20 AS very_short, mk = sq AND NOT (trim(mk) = '' OR trim(sq) = '') AS copy_through FROM p", pairs=True)
+_ODD_SQL = ", q AS (SELECT pair_id, CASE pair_id % 5 WHEN 0 THEN '' WHEN 1 THEN '12 !' WHEN 2 THEN upper(sq) || '!' ELSE mk END AS mk, sq FROM p), f AS (SELECT *, trim(mk) = '' OR trim(sq) = '' AS e, trim(regexp_replace(regexp_replace(replace(lower(mk), 'ß', 'ss'), '[^\\p{L}\\p{N}_ \\t\\n\\r\\f\\v]', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(replace(lower(sq), 'ß', 'ss'), '[^\\p{L}\\p{N}_ \\t\\n\\r\\f\\v]', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS b FROM q)"
+
+
+@query(_ODD_SQL + " SELECT pair_id, e AS either_empty, length(mk) < 20 OR length(sq) < 20 AS very_short, NOT regexp_matches(mk, '\\p{L}') OR NOT regexp_matches(sq, '\\p{L}') AS no_letters, mk = sq AND NOT e AS copy_through, a = b AND NOT e AS copy_through_norm FROM f", pairs=True)
 def sf15_degeneracy(spark, d):
+    """All five flags, over pairs of which some are blank, without letters or copied in capitals."""
+    k = F.col("pair_id") % 5
+    odd = pairs(spark, d).withColumn("mk", F.when(k == 0, "").when(k == 1, "12 !").when(k == 2, F.concat(F.upper("sq"), F.lit("!"))).otherwise(F.col("mk")))
     flags = T.degeneracy(F.col("mk"), F.col("sq"))
-    return pairs(spark, d).select("pair_id", *[flags[n].alias(n) for n in ("either_empty", "very_short", "copy_through")])
+    return odd.select("pair_id", *[c.alias(n) for n, c in flags.items()])
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS lower_ws, md5(trim(regexp_replace(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '[0-9]', '0', 'g'))) AS digit0 FROM documents")
@@ -68,16 +86,21 @@ def sf_normal_forms(spark, d):
     return table(spark, d, "documents").select("doc_id", T.norm_lower_ws(x).alias("lower_ws"), F.md5(T.norm_lower_digit0(x)).alias("digit0"))
 
 
-@query(None)
+_SPACED = "trim(regexp_replace({}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
+
+@query("WITH x AS (SELECT doc_id, text || ' ﬁne Straße e' || chr(769) AS t FROM documents) SELECT doc_id, md5(" + _SPACED.format("replace(replace(lower(nfc_normalize(t)), 'ß', 'ss'), 'ﬁ', 'fi')") + ") AS nfkc, md5(" + _SPACED.format("lower(nfc_normalize(t))") + ") AS nfc, md5(" + _SPACED.format("regexp_replace(replace(replace(lower(t), 'ß', 'ss'), 'ﬁ', 'fi'), '[^\\p{L}\\p{M}\\p{N}_ \\t\\n\\r\\f\\v]', '', 'g')") + ") AS nopunct, md5(trim(regexp_replace(replace(replace(lower(t), 'ß', 'ss'), 'ﬁ', 'fi'), '[^\\p{L}\\p{M}\\p{N}_]+', ' ', 'g'))) AS nonword FROM x")
 def sf_unicode_forms(spark, d):
-    """NFKC-casefold and NFC-lower forms, which DuckDB has no functions for; tested against unicodedata."""
-    x = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.md5(T.norm_nfkc_casefold(x)).alias("nfkc"), F.md5(T.norm_nfc_lower(x)).alias("nfc"))
+    """NFKC-casefold, NFC-lower and the two casefolds without punctuation, over texts with a ligature, a sharp s and a
+    combining accent."""
+    x = F.col("t")
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" ﬁne Straße e\u0301")).alias("t"))
+    return docs.select("doc_id", F.md5(T.norm_nfkc_casefold(x)).alias("nfkc"), F.md5(T.norm_nfc_lower(x)).alias("nfc"), F.md5(T.norm_casefold_nopunct(x)).alias("nopunct"), F.md5(T.norm_casefold_nonword(x)).alias("nonword"))
 
 
-@query("SELECT doc_id, substr(sha1(text), 1, 16) AS dup_key, substr(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 60) AS preview, CASE WHEN length(text) < 20 THEN '<20' WHEN length(text) < 80 THEN '20-79' WHEN length(text) < 300 THEN '80-299' ELSE '300+' END AS length_bin, CASE lang WHEN 'en' THEN 0.0 ELSE 0.0 END AS language_score FROM documents")
+@query("SELECT doc_id, substr(sha1(text), 1, 16) AS dup_key, substr(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 60) AS preview, CASE WHEN length(text) < 20 THEN '<20' WHEN length(text) < 80 THEN '20-79' WHEN length(text) < 300 THEN '80-299' ELSE '300+' END AS length_bin, CASE WHEN doc_id % 4 = 0 THEN 1.0 WHEN doc_id % 4 = 1 THEN 0.4 WHEN doc_id % 4 = 2 THEN 0.5 ELSE 0.0 END AS language_score FROM documents")
 def sk13_sf23_sf26_keys(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.text_key(F.col("text")).alias("dup_key"), T.preview(F.col("text")).alias("preview"), T.length_bin(F.length("text")).alias("length_bin"), T.language_score(F.col("lang")).alias("language_score"))
+    return table(spark, d, "documents").select("doc_id", S.text_key(F.col("text")).alias("dup_key"), T.preview(F.col("text")).alias("preview"), T.length_bin(F.length("text")).alias("length_bin"), T.language_score(F.element_at(F.array(*map(F.lit, ("MK", "SR", None, "BG"))), (F.col("doc_id") % 4 + 1).cast("int"))).alias("language_score"))
 
 
 @query("SELECT doc_id, ('0x' || substr(sha1(doc_id::VARCHAR), 1, 8))::BIGINT % 100 AS bucket, CASE WHEN ('0x' || substr(sha1(doc_id::VARCHAR), 1, 8))::BIGINT % 100 < 90 THEN 'train' WHEN ('0x' || substr(sha1(doc_id::VARCHAR), 1, 8))::BIGINT % 100 < 95 THEN 'dev' ELSE 'test' END AS split FROM documents")
@@ -141,19 +164,9 @@ def flt13_flt15_band(spark, d):
     return table(spark, d, "documents").where(R.half_open(F.col("n_chars"), 500, 2000) & F.col("lang").isin("en", "fr")).select("doc_id", "n_chars")
 
 
-@query("SELECT p.pair_id, regexp_replace(p.mk || ' 1234567890123 ', '(^|[^0-9])[0-9]{13}([^0-9]|$)', '\\1[ID-NUMBER]\\2', 'g') AS redacted FROM p", pairs=True)
+@query("SELECT p.pair_id, regexp_replace(regexp_replace(p.mk || ' 1234567890123, b1234567 ' || (100000 + pair_id), '(^|[^0-9])[0-9]{13}([^0-9]|$)', '\\1[ID-NUMBER]\\2', 'g'), ' [A-Za-z]{1,2}[0-9]{6,9} ', ' [DOC-NUMBER] ', 'g') AS redacted FROM p", pairs=True)
 def sf19_redaction(spark, d):
-    return pairs(spark, d).select("pair_id", F.regexp_replace(F.concat("mk", F.lit(" 1234567890123 ")), T.REDACTIONS[0][1], "[ID-NUMBER]").alias("redacted"))
-
-
-@query(None)
-def sf16_sf22_release_rules(spark, d):
-    """Repair, folding, redaction, cues and headwords, whose patterns look around; tested on fixed cases."""
-    x = F.col("text")
-    counts = T.redaction_counts(x)
-    return table(spark, d, "documents").select(
-        "doc_id", F.md5(T.fold_mixed_words(T.repair_bracket(x))).alias("repaired"), F.md5(T.redact(x)).alias("redacted"), counts["national_id"].alias("ids"), counts["passport"].alias("documents"),
-        T.residual_identifiers(T.redact(x)).alias("residual"), T.is_redacted(T.redact(x), F.lit("")).alias("is_redacted"), T.person_cues(x, x).alias("cues"), T.clean_headword(T.preview(x, 40)).alias("headword"))
+    return pairs(spark, d).select("pair_id", T.redact(F.concat("mk", F.lit(" 1234567890123, b1234567 "), 100000 + F.col("pair_id"))).alias("redacted"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS runs, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
@@ -181,31 +194,37 @@ def jn12_wrong_pairs(spark, d):
     return R.wrong_pairs(p, "issue", "pair_id", "a", "b", F.col("n"))
 
 
-@query(r", t AS (SELECT p_partkey AS term_id, regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+') AS need FROM part), x AS (SELECT pair_id, regexp_extract_all(lower(mk), '[\p{L}\p{N}_]+') AS w FROM p) SELECT pair_id AS row_id, w[1] AS first, len(w) AS n FROM x WHERE len(w) > 0", pairs=True)
+@query(r", x AS (SELECT pair_id, regexp_extract_all(lower(mk), '[\p{L}\p{N}_]+') AS w FROM p) SELECT pair_id AS row_id, array_to_string(w, ' ') AS tokens, len(w) AS n FROM x", pairs=True)
 def sf25_tokens(spark, d):
     w = T.word_tokens(F.col("mk"))
-    return pairs(spark, d).select(F.col("pair_id").alias("row_id"), F.get(w, F.lit(0)).alias("first"), F.size(w).alias("n")).where("n > 0")
+    return pairs(spark, d).select(F.col("pair_id").alias("row_id"), w.alias("w")).select("row_id", F.array_join("w", " ").alias("tokens"), F.size("w").alias("n"))
 
 
-@query(r"WITH t AS (SELECT item_id AS term_id, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 2) AS need FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), e AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) SELECT DISTINCT doc_id AS row_id, term_id FROM e JOIN t ON w[i] = need[1] AND list_slice(w, i, i + len(need) - 1) = need WHERE len(need) > 0")
+_TOKENS = r"array_to_string(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'), ' ')"
+
+
+@query("WITH i AS (SELECT item_id AS term_id, " + _TOKENS.format("text") + " AS need FROM benchmark), s AS (SELECT 1000000 + item_id AS term_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 3, 3 + item_id % 4), ' ') AS need FROM benchmark), t AS (SELECT * FROM i UNION ALL SELECT * FROM s), d AS (SELECT doc_id, " + _TOKENS.format("text") + " AS line FROM documents) SELECT doc_id AS row_id, term_id FROM d JOIN t ON need <> '' AND contains(' ' || line || ' ', ' ' || need || ' ')")
 def jn14_term_lookup(spark, d):
-    """Documents that hold the first two words of a benchmark item, as a token sequence. Only neighbouring token pairs
-    are exploded, not the document with each of its tokens."""
-    need = F.slice(T.word_tokens(F.col("text")), 1, 2)
-    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("term_id"), need.alias("need")).where("size(need) > 0")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), T.word_tokens(F.col("text")).alias("w"))
-    grams = docs.select("row_id", F.explode(F.array_distinct(F.concat(F.transform("w", lambda t: F.array(t)), F.zip_with("w", F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.array(a, b))))).alias("need"))
-    return grams.join(F.broadcast(terms), "need").select("row_id", "term_id").distinct()
+    """Documents that hold a whole benchmark item as a token sequence, or one to four tokens from the middle of one."""
+    b = table(spark, d, "benchmark").select("item_id", T.word_tokens(F.col("text")).alias("w"))
+    short = b.select((F.col("item_id") + 1000000).alias("term_id"), F.expr("slice(w, 3, cast(1 + item_id % 4 as int))").alias("need"))
+    terms = b.select(F.col("item_id").alias("term_id"), F.col("w").alias("need")).unionByName(short)
+    return R.find_terms(table(spark, d, "documents"), "doc_id", T.word_tokens(F.col("text")), terms)
 
 
-@query(r"WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(text) - 4) + 1), lambda i: substr(text, i, 5))) AS g FROM documents WHERE length(text) > 0) SELECT doc_id, len(g) AS n_shingles FROM s")
+@query(r"WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(text) - 4) + 1), lambda i: substr(text, i, 5))) AS g FROM documents WHERE length(text) > 0) SELECT doc_id, len(g) AS n_shingles, md5(array_to_string(list_sort(list_transform(g, lambda x: md5(x))), '')) AS digest FROM s")
 def sk1_sk2_shingles(spark, d):
-    return table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.size(F.array_distinct(S.char_shingles(F.col("text")))).alias("n_shingles"))
+    docs = table(spark, d, "documents").where(F.length("text") > 0)
+    found = docs.select("doc_id", F.array_distinct(S.char_shingles(F.col("text"))).alias("g"))
+    return found.select("doc_id", F.size("g").alias("n_shingles"), F.md5(F.array_join(F.array_sort(F.transform("g", lambda x: F.md5(x))), "")).alias("digest"))
 
 
-@query("SELECT a.vec_id, (SELECT sum(x::DOUBLE * y::DOUBLE) FROM (SELECT unnest(a.embedding) AS x, unnest(a.embedding) AS y)) AS dot FROM embeddings a")
+@query("SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)")
 def sk11_cosine(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", S.cosine(F.col("embedding"), F.col("embedding")).alias("dot"))
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    a = v.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("x"), ((F.col("vec_id") * 7 + 3) % v.count()).alias("b_id"))
+    b = v.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("y"))
+    return a.join(b, "b_id").select("a_id", "b_id", F.round(S.cosine(F.col("x"), F.col("y")), 9).alias("dot"))
 
 
 @query(None)
@@ -216,9 +235,18 @@ def jn10_best_match(spark, d):
     return out.withColumn("near_duplicate", F.col("max_jaccard") >= 0.85)
 
 
-@query(None)
+_AUDIT = r"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[0-9]', '0', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS t, ('0x' || substr(sha1(doc_id::VARCHAR), 1, 8))::BIGINT % 100 AS b FROM documents),
+s AS (SELECT doc_id, t, b, t IN (SELECT t FROM d WHERE b < 90) AS known, list_distinct(list_transform(range(1, greatest(1, length(t) - 4) + 1), lambda i: substr(t, i, 5))) AS g FROM d),
+u AS (SELECT min(doc_id) AS t_id, any_value(g) AS g FROM s WHERE b < 90 GROUP BY t),
+l AS (SELECT t_id, len(g) AS n, unnest(g) AS x FROM u), r AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s WHERE b >= 90 AND NOT known),
+m AS (SELECT r.doc_id AS doc_id, t_id, any_value(r.n) AS a, any_value(l.n) AS b, count(*) AS common FROM r JOIN l ON r.x = l.x AND least(r.n, l.n) >= 0.8 * greatest(r.n, l.n) GROUP BY r.doc_id, t_id),
+j AS (SELECT doc_id, max(common::DOUBLE / (a + b - common)) AS j FROM m GROUP BY doc_id)
+SELECT s.doc_id AS doc_id, CASE WHEN known THEN 'exact_template' WHEN j >= 0.8 THEN 'near_duplicate' ELSE 'novel' END AS class, CASE WHEN known THEN 1.0 WHEN j >= 0.8 THEN j END AS best_jaccard FROM s LEFT JOIN j ON s.doc_id = j.doc_id WHERE b >= 90"""
+
+
+@query(_AUDIT)
 def jn11_sk10_overlap_audit(spark, d):
-    """exact_template, near_duplicate or novel for every held-out document against train."""
+    """exact_template, near_duplicate or novel for every held-out document against train; the SQL compares all of them."""
     docs = table(spark, d, "documents").select("doc_id", T.norm_lower_digit0(F.col("text")).alias("text"), R.hash_bucket(F.col("doc_id")).alias("b"))
     train, probes = docs.where("b < 90"), docs.where("b >= 90")
     exact = probes.join(train.select("text").distinct(), "text", "left_semi").select("doc_id", F.lit(True).alias("exact"))

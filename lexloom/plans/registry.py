@@ -24,4 +24,4 @@ def query(sql: str | None = None, pairs: bool = False):
     return add
 
 
-from lexloom.plans import corpus, evaluation, tables  # noqa: E402,F401  (they register their queries)
+from lexloom.plans import audit, chronology, corpus, evaluation, tables  # noqa: E402,F401  (they register their queries)

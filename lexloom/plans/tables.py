@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, Window as W
 
-from lexloom.operators import relational as R
+from lexloom.operators import ordering as O, relational as R
 from lexloom.streaming import incremental
 from .common import table
 from .registry import query
@@ -26,7 +26,7 @@ def prj3_issue_key(spark, d):
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, CASE WHEN regexp_extract(url, '([0-9]+)[^0-9]*$', 1) = '' THEN NULL ELSE regexp_extract(url, '([0-9]+)[^0-9]*$', 1)::BIGINT END AS last_number FROM pages")
-def prj1_prj4_parse(spark, d):
+def prj_url_parts(spark, d):
     n = F.regexp_extract("url", r"([0-9]+)[^0-9]*$", 1)
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.when(n != "", n.cast("long")).alias("last_number"))
 
@@ -68,9 +68,9 @@ def ag9_crosstab_share(spark, d):
     return c.select("source", "lang", (F.col("count") / F.sum("count").over(W.partitionBy("lang"))).alias("share"))
 
 
-@query("SELECT coalesce(lang, 'total') AS lang, coalesce(source, 'total') AS source, count(*) AS n FROM documents GROUP BY CUBE (lang, source)")
+@query("SELECT CASE WHEN grouping(lang) = 1 THEN 'total' ELSE coalesce(lang, '(null)') END AS lang, CASE WHEN grouping(source) = 1 THEN 'total' ELSE coalesce(source, '(null)') END AS source, count(*) AS n FROM documents GROUP BY CUBE (lang, source)")
 def ag10_flt17_margins(spark, d):
-    return table(spark, d, "documents").cube("lang", "source").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("lang", F.lit("total")).alias("lang"), F.coalesce("source", F.lit("total")).alias("source"), "n")
+    return R.margins(table(spark, d, "documents"), "lang", "source")
 
 
 @query("SELECT avg(CASE WHEN (l_quantity > 25) <> (l_discount > 0.05) THEN 1.0 ELSE 0.0 END) AS mismatch FROM lineitem")
@@ -125,9 +125,10 @@ def jn7_reconcile(spark, d):
     return R.reconcile(table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), expected, "lang", "n")
 
 
-@query("SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
-def jn1_inner(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+@query("SELECT l.doc_id, d.lang, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def jn1_one_to_one(spark, d):
+    """Every label has one document; a repeated key or a lost row raises."""
+    return R.join_one_to_one(table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
 
 
 @query("SELECT count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
@@ -138,7 +139,7 @@ def jn3_semi_count(spark, d):
 @query("SELECT l_orderkey, l_partkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem k WHERE k.l_orderkey = l.l_orderkey AND k.l_partkey = l.l_partkey AND k.l_returnflag = 'R')")
 def jn5_struct_anti(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
-    return li.join(li.where("l_returnflag = 'R'").select("l_orderkey", "l_partkey"), ["l_orderkey", "l_partkey"], "left_anti").select("l_orderkey", "l_partkey")
+    return R.anti_with_check(li, li.where("l_returnflag = 'R'"), "l_orderkey", "l_partkey").select("l_orderkey", "l_partkey")
 
 
 @query("WITH a AS (SELECT o_custkey AS c, count(*) AS orders FROM orders GROUP BY 1), b AS (SELECT o_custkey AS c, sum(l_quantity) AS qty FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT a.c AS custkey, orders, qty FROM a LEFT JOIN b ON a.c = b.c")
@@ -162,12 +163,12 @@ def wn6_lag(spark, d):
 
 @query("WITH v AS (SELECT l_discount AS v, count(*) FILTER (l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY 1), w AS (SELECT p * (coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2.0::DOUBLE) AS wins, p, n FROM v) SELECT sum(wins) / (sum(p) * sum(n))::DOUBLE AS auc FROM w")
 def wn7_ev9_separation(spark, d):
-    return R.separation(table(spark, d, "lineitem"), "l_discount", F.col("l_returnflag") == "R")
+    return O.separation(table(spark, d, "lineitem"), "l_discount", F.col("l_returnflag") == "R")
 
 
-@query("SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS mean_rank FROM orders WHERE o_custkey < 50")
+@query("SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS mean_rank FROM orders")
 def wn7_mean_rank(spark, d):
-    return table(spark, d, "orders").where("o_custkey < 50").select("o_orderkey", R.mean_rank(F.col("o_totalprice")).alias("mean_rank"))
+    return O.mean_rank(table(spark, d, "orders"), "o_orderkey", "o_totalprice")
 
 
 @query("WITH b AS (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, user_id FROM events) SELECT user_id, event_id FROM b WHERE r <= 3")
@@ -178,7 +179,7 @@ def wn10_latest_three(spark, d):
 
 @query("SELECT vec_id, label, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) OVER (ORDER BY vec_id) AS record FROM embeddings")
 def wn12_records(spark, d):
-    return R.record_groups(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", F.col("label") == 0)
+    return O.record_groups(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", F.col("label") == 0)
 
 
 @query("WITH o AS (SELECT o_orderkey, o_totalprice FROM orders), n AS (SELECT o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 10 = 0) SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice FROM o LEFT JOIN n ON o.o_orderkey = n.o_orderkey")
@@ -189,10 +190,19 @@ def wn11_upsert(spark, d):
 
 @query("SELECT l_suppkey, n, median_before, coalesce(n > median_before * 1.2, false) AS anomalous FROM (SELECT l_suppkey, n, median(n) OVER (ORDER BY l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS median_before FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1))")
 def ag28_running_flags(spark, d):
-    return R.running_flags(table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), "l_suppkey", "n", 1.2)
+    return O.running_flags(table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), "l_suppkey", "n", 1.2)
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def ext_windowed_counts(spark, d):
     """Daily counts as the streaming aggregate computes them; the reference has no streams."""
     return incremental.windowed_counts(table(spark, d, "events"), "ts", "event_type")
+
+
+_SLOW = "WITH g AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), m AS (SELECT l_suppkey, n, row_number() OVER (ORDER BY l_suppkey) AS i, median(n) OVER (ORDER BY l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS median_before FROM g), s AS (SELECT *, i > 5 AND n < 0.98 * median_before AS slow FROM m), r AS (SELECT *, i - row_number() OVER (PARTITION BY slow ORDER BY i) AS run FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY slow, run ORDER BY i) AS place FROM r) SELECT l_suppkey, n, median_before, slow AND place % 2 = 0 AS anomalous FROM k"
+
+
+@query(_SLOW)
+def ag28_slow_streaks(spark, d):
+    """Rows that complete two in a row below a share of the running median."""
+    return O.running_flags(table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), "l_suppkey", "n", 0.98, least=5, below=True, streak=2)
