@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
+import os
+import time
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from lexloom.operators.ordering import record_groups
+
 
 def read_parquet(spark: SparkSession, path, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(*([path] if isinstance(path, str) else path))
@@ -40,6 +45,62 @@ def read_ndjson(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def list_objects(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, size, modified) of the files of a glob; no content is read."""
+    return spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def read_splits(spark: SparkSession, paths: dict[str, str], columns: Sequence[str], schema=None) -> DataFrame:
+    """Tables of a dataset's splits as one, with the split's name; each is read for these columns only."""
+    out = None
+    for split, path in paths.items():
+        part = read_parquet(spark, path, schema).select(*columns, F.lit(split).alias("split"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no splits")
+    return out
+
+
+def load_config(path: str, key: str = "run_name") -> dict:
+    """A run's settings from a YAML (where its library is there) or JSON file, which must name the file's own stem."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        data = json.loads(text)
+    else:
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError(f"{path}: reading YAML takes the yaml library; JSON works without") from e
+        data = yaml.safe_load(text)
+    stem = os.path.splitext(os.path.basename(path))[0]
+    if not isinstance(data, dict) or data.get(key) != stem:
+        raise ValueError(f"{path} says {key} {data.get(key) if isinstance(data, dict) else None!r}, not {stem!r}")
+    return data
+
+
+def harvest(fetch: Callable[[int], list[dict]], key: str, tries: int = 5, wait: Callable[[float], None] = time.sleep, pause: float = 1.0) -> list[dict]:
+    """All records of a paged service, the last one of each key. fetch(page) gives a page's records, none after the last
+    page; what it raises is tried again after twice the pause each time. The service itself is the caller's."""
+    records: dict = {}
+    page = 0
+    while True:
+        for attempt in range(tries):
+            try:
+                found = fetch(page)
+                break
+            except OSError:
+                if attempt == tries - 1:
+                    raise
+                wait(pause * 2**attempt)
+        if not found:
+            return list(records.values())
+        for r in found:
+            records.pop(r[key], None)
+            records[r[key]] = r
+        page += 1
+
+
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
@@ -49,10 +110,20 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no from 0, line): split on line feeds only, without a byte order mark, a last empty line not counted."""
-    whole = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
-    text = F.regexp_replace(whole, "\n$", "")
-    return spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    """(line_no from 0, line): split on line feeds only, without a byte order mark, a last empty line not counted.
+
+    The file is read in splits by Spark's text source. A line's number is its place in its block plus the lines of the
+    blocks before it, so no task holds more than a block of the file."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    placed = lines.select(F.col("value"), at.alias("at"), F.monotonically_increasing_id().alias("id"))
+    # ids grow within a block; blocks are counted and added up in a small table
+    counts = placed.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("at", "first", before.alias("before"))
+    number = F.col("before") + F.col("id") - F.col("first")
+    text = F.when(number == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return placed.join(F.broadcast(starts), "at").select(number.alias("line_no"), text.alias("line"))
 
 
 def aligned_lines(spark: SparkSession, first: str, second: str, names: tuple[str, str] = ("mk", "sq")) -> DataFrame:
@@ -98,15 +169,14 @@ def last_by_id(df: DataFrame, key: str, order: str) -> DataFrame:
 def log_records(lines: DataFrame, stamp: str = r"^(\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d)") -> DataFrame:
     """(record, at, message): a record is a line with a time stamp and the lines after it."""
     at = F.regexp_extract("line", stamp, 1)
-    rows = lines.withColumn("at", F.when(at != "", at)).withColumn("record", F.sum((at != "").cast("int")).over(W.orderBy("line_no")))
+    rows = record_groups(lines.withColumn("at", F.when(at != "", at)), "line_no", F.regexp_like("line", F.lit(stamp)))
     return rows.groupBy("record").agg(F.max("at").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("message"))
 
 
 def last_invocation(records: DataFrame, begins: str) -> DataFrame:
-    """The records from the last one whose message matches."""
-    run = F.sum(F.regexp_like("message", F.lit(begins)).cast("int")).over(W.orderBy("record"))
-    rows = records.withColumn("run", run)
-    return rows.withColumn("last", F.max("run").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).where("run = last").drop("run", "last")
+    """The records from the last one whose message matches; all, if none does."""
+    last = records.where(F.regexp_like("message", F.lit(begins))).agg(F.max("record").alias("last")).first()["last"]
+    return records if last is None else records.where(F.col("record") >= last)
 
 
 def find_column(df: DataFrame, candidates: Sequence[str]) -> str:

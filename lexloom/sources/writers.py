@@ -15,6 +15,43 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = (), files: int |
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_named(df: DataFrame, folder: str, by: str, name: str = "{}-00000-of-00001.parquet") -> list[str]:
+    """One file for each value of a column, under its own name: written beside, then moved, so a file is there whole or not
+    at all. For published splits, each of which fits a file."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = to(folder).getFileSystem(conf)
+    out = []
+    values = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
+    fs.mkdirs(to(folder))
+    for value in values:
+        part = f"{folder}/.{value}.tmp"
+        write_parquet(df.where(F.col(by) == value).drop(by), part, files=1)
+        (file,) = [s.getPath() for s in fs.globStatus(to(f"{part}/part-*"))]
+        target = to(f"{folder}/{name.format(value)}")
+        fs.delete(target, False)
+        if not fs.rename(file, target):
+            raise OSError(f"could not move {file} to {target}")
+        fs.delete(to(part), True)
+        out.append(target.toString())
+    return out
+
+
+def write_by_class(df: DataFrame, path: str, by: Sequence[str], columns: Sequence[str], floats: Sequence[str] = ()) -> None:
+    """A projection of the table, some columns as 32-bit floats, partitioned by class and split."""
+    kept = [F.col(c).cast("float") if c in floats else F.col(c) for c in columns]
+    write_parquet(df.select(*kept, *[F.col(c) for c in by if c not in columns]), path, by)
+
+
+def write_with_dropped(kept: DataFrame, dropped: DataFrame, path: str, sidecar: str, by: Sequence[str] = ()) -> dict[str, int]:
+    """The rows kept and, beside them, those that were dropped; counts of both as written."""
+    write_parquet(kept, path, by)
+    write_parquet(dropped, sidecar)
+    spark = kept.sparkSession
+    return {"kept": spark.read.parquet(path).count(), "dropped": spark.read.parquet(sidecar).count()}
+
+
 def read_back(spark: SparkSession, path: str, schema) -> DataFrame:
     """Read with the written schema, so that partition columns keep their types."""
     return spark.read.schema(schema).parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
