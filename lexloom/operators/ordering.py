@@ -7,7 +7,8 @@ value first (see mean_rank), so a range is bounded by the number of its distinct
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -66,6 +67,33 @@ def mean_rank(df: DataFrame, key: str, value: str) -> DataFrame:
     return rows.join(ranks, rows["__value"].eqNullSafe(ranks["__value"])).select(key, "mean_rank")
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
+    """Exact quantiles, linear between neighbours, nulls left out; NaN without values. Only the values at the wanted places
+    come to the driver, two a quantile; no task gathers the values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sum(counts, "v", F.col("n"), "before", inclusive=False)
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if not total:
+        return [math.nan] * len(shares)
+    spots = [share * (total - 1) for share in shares]
+    wanted = sorted({f(x) for x in spots for f in (math.floor, math.ceil)})
+    near = F.lit(False)
+    for i in wanted:
+        near = near | ((F.col("before") <= i) & (F.col("before") + F.col("n") > i))
+    rows = ranked.where(near).select("v", "before", "n").collect()
+    at = {i: float(r["v"]) for i in wanted for r in rows if r["before"] <= i < r["before"] + r["n"]}
+    return [at[math.floor(x)] + (x - math.floor(x)) * (at[math.ceil(x)] - at[math.floor(x)]) for x in spots]
+
+
+def quantile_bins(df: DataFrame, value: str, bins: int) -> Column:
+    """Bin numbers from 0 by quantile edges of the whole column, equal edges merged; the lowest edge belongs to bin 0."""
+    inner = sorted(set(quantiles(df, value, [i / bins for i in range(bins + 1)])))[1:-1]
+    out = F.lit(0)
+    for e in inner:
+        out = out + (F.col(value) > e).cast("int")
+    return out
+
+
 def separation(df: DataFrame, value: str, positive: Column) -> DataFrame:
     """AUC of value for positive rows: the share of (positive, negative) pairs in order, ties half. Counts by value first,
     so the order is over distinct values."""

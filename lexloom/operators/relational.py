@@ -203,21 +203,24 @@ def find_terms(texts: DataFrame, row_id: str, tokens: Column, terms: DataFrame,
     return met.join(lines, "row_id").where(whole).select("row_id", "term_id").distinct()
 
 
-def contained(docs: DataFrame, items: DataFrame, most: int = 10_000) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, most: int = 10_000, most_chars: int = 1 << 25) -> DataFrame:
     """(item_id, doc_id) of documents (doc_id, text) that contain an item (item_id, needle) as a substring, for each pair of
-    rows. Up to `most` items are broadcast; of more, those with three whole words between their first and last join on
-    these words, cut by the same white space on both sides, and the others are broadcast in blocks of `most`."""
-    if (count := items.count()) <= most:
+    rows. Up to `most` items of `most_chars` characters in all are broadcast; of more, those with three whole words between
+    their first and last join on these words, cut by the same white space on both sides, and the others are broadcast in
+    blocks of that size."""
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("needle")).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // most), -(-(size["chars"] or 0) // most_chars))
+    if blocks == 1:
         return docs.join(F.broadcast(items), F.contains("text", "needle")).select("item_id", "doc_id")
     pieces = lambda c: F.split(F.col(c), r"\s+")
     # the first and the last piece of an item may go on in the document; what is between is whole there too
     keyed = items.withColumn("__w", pieces("needle"))
     long_ = keyed.where("size(__w) >= 5").select("item_id", "needle", F.expr("slice(__w, 2, 3)").alias("__k"))
     grams = F.expr("transform(sequence(1, size(__w) - 2), i -> slice(__w, i, 3))")
-    at = docs.withColumn("__w", pieces("text")).where("size(__w) >= 3").select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("__k"))
-    out = at.join(long_, "__k").where(F.contains("text", "needle")).select("item_id", "doc_id")
+    key = lambda c: F.transform(c, lambda x: F.xxhash64(F.array_join(x, " ")))
+    at = docs.withColumn("__w", pieces("text")).where("size(__w) >= 3").select("doc_id", "text", F.explode(F.array_distinct(key(grams))).alias("__k"))
+    out = at.join(long_.withColumn("__k", F.xxhash64(F.array_join("__k", " "))), "__k").where(F.contains("text", "needle")).select("item_id", "doc_id")
     short = keyed.where("size(__w) < 5 and needle is not null").select("item_id", "needle")
-    blocks = -(-count // most)
     for b in range(blocks):
         part = short.where(F.pmod(F.xxhash64("item_id", "needle"), F.lit(blocks)) == b)
         out = out.unionByName(docs.join(F.broadcast(part), F.contains("text", "needle")).select("item_id", "doc_id"))
@@ -402,6 +405,14 @@ def conserved(before: DataFrame, after: DataFrame, column: str, gone: str, added
     return require(out, F.col("gone_before") - F.col("gone_after") != F.col("added_after") - F.col("added_before"), "patterns that went and came differ", "gone_before")
 
 
+def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(shared, only_first, only_second): how many distinct keys two tables share, and how many only one has."""
+    sides = a.select(key, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(b.select(key, F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+    by = sides.groupBy(key).agg(F.max("__a").alias("a"), F.max("__b").alias("b"))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by.agg(n(F.col("a") * F.col("b")).alias("shared"), n(F.col("a") * (1 - F.col("b"))).alias("only_first"), n(F.col("b") * (1 - F.col("a"))).alias("only_second"))
+
+
 def null_rates(df: DataFrame) -> DataFrame:
     """(column, null_rate), from one pass."""
     rates = df.agg(*[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(c) for c in df.columns])
@@ -432,13 +443,3 @@ def threshold_sweep(df: DataFrame, score: str, truth: Column, cutoffs: Sequence[
     rows = F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), F.col(f"k{n}").alias("kept"), F.col(f"t{n}").alias("true_kept"), F.col("t").alias("t")) for n, c in enumerate(cutoffs)])
     out = df.agg(*aggs).select(F.explode(rows).alias("x")).select("x.*")
     return out.select("cutoff", "kept", "true_kept", F.try_divide("true_kept", "t").alias("recall"), F.try_divide("true_kept", "kept").alias("precision"))
-
-
-def quantile_bins(df: DataFrame, value: str, bins: int) -> Column:
-    """Bin numbers from 0 by quantile edges of the whole column, equal edges merged; the lowest edge belongs to bin 0."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first()["e"]
-    inner = sorted(set(edges))[1:-1]
-    out = F.lit(0)
-    for e in inner:
-        out = out + (F.col(value) > e).cast("int")
-    return out

@@ -118,7 +118,7 @@ def so4_length_batches(spark, d):
 @query("WITH e AS (SELECT list_sort(list_distinct(quantile_cont(n_chars, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM documents), b AS (SELECT doc_id, len(list_filter(e[2:len(e) - 1], lambda x: n_chars > x))::INTEGER AS bin FROM documents, e), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY sha1('42:' || doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY bin) AS n FROM b) SELECT doc_id, bin FROM r WHERE r <= least(20, n)")
 def so6_sample_per_decile(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    return R.stratified_sample(docs.select("doc_id", R.quantile_bins(docs, "n_chars", 10).alias("bin")), "bin", "doc_id", 1.0, 1, 20)
+    return R.stratified_sample(docs.select("doc_id", O.quantile_bins(docs, "n_chars", 10).alias("bin")), "bin", "doc_id", 1.0, 1, 20)
 
 
 @query(", x AS (SELECT 'mk-sq' AS direction, pair_id, mk AS src FROM p UNION ALL SELECT 'sq-mk', pair_id, sq FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY sha1('42:' || direction || ':' || pair_id::VARCHAR), pair_id) AS r FROM x) SELECT direction, pair_id, length(src) AS src_chars FROM r WHERE r <= 50", pairs=True)

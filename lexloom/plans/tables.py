@@ -49,7 +49,8 @@ def ag3_ag5_profile(spark, d):
 
 @query("SELECT quantile_cont(l_extendedprice, [0.5, 0.9, 0.95, 0.99, 1.0]) AS q FROM lineitem")
 def ag6_quantiles(spark, d):
-    return table(spark, d, "lineitem").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99, 1.0)))).alias("q"))
+    found = O.quantiles(table(spark, d, "lineitem").select("l_extendedprice"), "l_extendedprice", (0.5, 0.9, 0.95, 0.99, 1.0))
+    return spark.createDataFrame([(found,)], "q array<double>")
 
 
 @query("SELECT source, count(n_chars) AS n, avg(n_chars) AS mean, stddev_samp(n_chars) AS std, min(n_chars) AS min, quantile_cont(n_chars, 0.25) AS p25, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.75) AS p75, max(n_chars) AS max FROM documents GROUP BY source")
@@ -104,7 +105,7 @@ def ag18_ag20_threshold_sweep(spark, d):
 @query("WITH e AS (SELECT list_sort(list_distinct(quantile_cont(n_chars, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM documents) SELECT len(list_filter(e[2:len(e) - 1], lambda x: n_chars > x)) AS bin, count(*) AS n, avg(doc_id) AS mean_id FROM documents, e GROUP BY bin")
 def ag21_deciles(spark, d):
     docs = table(spark, d, "documents")
-    return docs.groupBy(R.quantile_bins(docs, "n_chars", 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("doc_id").alias("mean_id"))
+    return docs.groupBy(O.quantile_bins(docs, "n_chars", 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("doc_id").alias("mean_id"))
 
 
 @query("SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN l_discount > 0.05 THEN 'discount' END, CASE WHEN l_tax > 0.04 THEN 'tax' END, CASE WHEN l_quantity > 40 THEN 'quantity' END], lambda x: x IS NOT NULL)) AS reason FROM lineitem) GROUP BY reason")
@@ -206,3 +207,9 @@ _SLOW = "WITH g AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), m
 def ag28_slow_streaks(spark, d):
     """Rows that complete two in a row below a share of the running median."""
     return O.running_flags(table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), "l_suppkey", "n", 0.98, least=5, below=True, streak=2)
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')) AS shared, (SELECT count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')) AS only_first, (SELECT count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')) AS only_second")
+def st5_key_sets(spark, d):
+    """Keys that two tables share, and those that only one has."""
+    return R.key_sets(table(spark, d, "lineitem").where("l_returnflag = 'R'"), table(spark, d, "lineitem").where("l_returnflag = 'A'"), "l_partkey")

@@ -37,6 +37,17 @@ def test_mean_rank_with_ties_and_nulls(spark):
     assert {r["k"]: r["mean_rank"] for r in O.mean_rank(df, "k", "v").collect()} == {5: 1.0, 2: 2.0, 1: 3.5, 3: 3.5, 4: 5.0}
 
 
+def test_quantiles_are_numpys(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    for values in ([1.0], [2.0, 2.0, 7.0], [float(rng.randint(0, 30)) for _ in range(200)]):
+        df = frame(spark, [(v,) for v in [*values, None]], "v double")
+        shares = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
+        assert O.quantiles(df, "v", shares) == pytest.approx(np.quantile(values, shares).tolist())
+    assert str(O.quantiles(frame(spark, [(None,)], "v double"), "v", [0.5])) == "[nan]"
+
+
 def test_running_flags_against_a_loop(spark):
     rng = random.Random(2)
     data = [(i, None if rng.random() < 0.1 else rng.choice([1.0, 1.1, 0.9, 0.3, 40.0])) for i in range(200)]
