@@ -16,10 +16,10 @@ are judged on the input. Three steps lead to suffix arrays of bounded parts that
 
 A core's group holds as many distinct pieces as there are ways to go on within STEP bytes on either side of it, whatever
 the number of texts that share it. Texts with exact copies are one text with a count. Only texts with a repeated anchor
-move; a filter of fixed size finds them, and letting more through changes no result.
+move; filters of fixed size find them, and letting more through changes no result.
 
-A passage is also told by its words (without_passages): the same search runs over texts in which every word is a code
-of CODE bytes, so that a number of words is a number of bytes, whatever the length of the words.
+A passage is also told by its words (without_passages): the same search runs over a view of the texts in which every
+word is a code of CODE bytes, so that a number of words is a number of bytes, whatever the length of the words.
 
 Defined results: null text is empty; texts shorter than LENGTH lose nothing; all of a text of at least LENGTH bytes
 that occurs twice goes; a null id is kept as it is; an empty table gives no rows.
@@ -33,14 +33,14 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .fingerprint import mix64
 from .neardup import by_group
-from .runtime import WordCache, cut, ship
+from .runtime import bits_of, cut, release, set_at, ship, sift, spot_of, task, WordCache
 from .suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAM, STEP, CHUNK, BITS = 400, 64, 96, 1 << 19, 1 << 22
+LENGTH, GRAM, STEP, CHUNK, ANCHOR_BITS = 400, 64, 96, 1 << 19, 1 << 25
 PLACE = np.uint64((1 << 20) - 1)
 #: Repeats of more than WORDS words are passages; a word is CODE bytes of its hash.
 WORDS, CODE = 50, 6
@@ -177,97 +177,112 @@ def digest(raw: bytes, found: list[tuple[int, int]]) -> tuple[int, int, str]:
     return int(flags.sum()), len(runs(flags)), hashlib.sha256(kept.tobytes()).hexdigest()
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """BITS flags of hashed keys: of a fixed size, and only a filter that may let more through."""
-    at = keys.select((F.pmod(F.xxhash64("key"), F.lit(BITS)) + 1).alias("at"))
-    rows = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).collect()
-    out = np.zeros(BITS // 8 + 4096, np.uint8)
-    for r in rows:
-        # bucket b holds positions (b - 1) * 32768 + 1 .. b * 32768
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-    return out
-
-
-def find_repeats(docs: DataFrame, length: int = LENGTH, id_col="doc_id", text_col="text"):
-    """texts (the columns of docs, key, n_bytes), found (key, spans array<struct<a,b>>: byte ranges to remove), and the
-    distinct whole texts (key, raw) that may hold repeats. A text without a row in found loses nothing."""
-    texts = _texts(docs, text_col)
-    return texts, *_search(texts, length)
-
-
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, raw, sha, n_bytes, key) of every document."""
     raw = F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "UTF-8")
     texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), raw.alias("raw"))
     texts = texts.select("row", "raw", F.sha2("raw", 256).alias("sha"), F.octet_length("raw").cast("long").alias("n_bytes"))
     return texts.withColumn("key", F.substring(F.unhex("sha"), 1, 16))
 
 
-def _search(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """found and the distinct whole texts of find_repeats, for texts (key, raw, n_bytes)."""
+def _once(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, raw) of the distinct texts with these keys, joined with the other columns of keys. Texts are read anew where
+    they are needed rather than stored; copies are combined before they move."""
+    return sift(texts, "key", keys).groupBy("key").agg(F.first("raw").alias("raw")).join(keys, "key")
+
+
+def _as_is():
+    return lambda raw: raw
+
+
+def find_repeats(texts: DataFrame, length: int = LENGTH, view=_as_is, least: int | None = None) -> DataFrame:
+    """(key, whole, spans array<struct<a,b>>) of the texts (key, raw, n_bytes) that hold repeats: byte ranges to remove,
+    or all of a text that has copies. Other texts have no row.
+
+    view() gives a function from a text's bytes to those that are searched; texts under `least` bytes hold none."""
     spark = texts.sparkSession
     ship(spark)
-    long_ = texts.where(F.col("n_bytes") >= length).select("key", "raw")
+    long_ = texts.where(F.col("n_bytes") >= (length if least is None else least)).select("key", "raw")
 
+    @task
     def find(batches):
+        seen = view()
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                out = []
-                for x in part.column(1):
-                    got = anchors(np.frombuffer(x.as_py(), np.uint8), length)
-                    out.append([np.concatenate([g[i] for g in got]) for i in range(4)])
+                keys, last, out = [], [], []
+                for key, x in zip(part.column(0), part.column(1)):
+                    b = seen(x.as_py())
+                    if len(b) >= length:
+                        h, lo, _, at = (np.concatenate(x) for x in zip(*anchors(np.frombuffer(b, np.uint8), length)))
+                        keys.append(key.as_py())
+                        last.append(len(b) - length)
+                        out.append((h, lo, at))
                 sizes = pa.array(np.concatenate([[0], np.cumsum([len(o[0]) for o in out])]), pa.int32())
-                lists = [pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([o[i] for o in out]), pa.int64())) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["key", "h", "lo", "hi", "at"])
+                none = np.zeros(0, np.int64)
+                lists = [pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([none, *(o[i] for o in out)]), kind)) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(last, pa.int32()), *lists], names=["key", "last", "h", "lo", "at"])
 
-    listed = long_.mapInArrow(find, "key binary, h array<long>, lo array<long>, hi array<long>, at array<long>")
-    zipped = listed.select("key", F.explode(F.arrays_zip("h", "lo", "hi", "at")).alias("x"))
-    every = cut(zipped.select("key", "x.h", *[F.col(f"x.{c}").cast("int").alias(c) for c in ("lo", "hi", "at")]))
-    spot = F.struct("key", "at")
+    listed = long_.mapInArrow(find, "key binary, last int, h array<long>, lo array<int>, at array<int>")
+    listed = cut(listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("last", "h", "lo", "at")]))
+    copies = cut(listed.where("n > 1").select("key"))
     # cut, so that the join below has plain shuffles on both sides and a hot anchor's rows are split among tasks
-    again = cut(every.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("h"))
-    wanted = cut(every.join(again, "h").select("key", "lo", "hi", "at").distinct())
-    copies = cut(long_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    shared = spark.sparkContext.broadcast(_bitmap(wanted))
+    again = cut(listed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    shared = bits_of(again.select(F.pmod("h", F.lit(ANCHOR_BITS)).alias("at")), ANCHOR_BITS)
 
-    def sift(batches):
+    @task
+    def few(batches):
         bits = shared.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
-
-    may = long_.select("key", "raw", F.pmod(F.xxhash64("key"), F.lit(BITS)).alias("at")).mapInArrow(sift, "key binary, raw binary")
-    some = cut(may.groupBy("key").agg(F.first("raw").alias("raw")))
-
+            sizes = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            h, lo, at = (batch.column(i).flatten().to_numpy() for i in (2, 3, 4))
+            ends = np.cumsum(sizes)
+            hi = np.concatenate([lo[1:], [0]]).astype(np.int64) - 1  # a run ends where the next one starts
+            hi[ends - 1] = batch.column(1).to_numpy()
+            keep = np.flatnonzero(set_at(bits, h & (ANCHOR_BITS - 1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.searchsorted(ends, keep, side="right"))), *(pa.array(x[keep], kind) for x, kind in ((h, pa.int64()), (lo, pa.int32()), (hi, pa.int32()), (at, pa.int32())))], names=["key", "h", "lo", "hi", "at"])
+
+    every = listed.select("key", "last", "h", "lo", "at").mapInArrow(few, "key binary, h long, lo int, hi int, at int")
+    wanted = cut(every.join(again, "h").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("found")))
+    del listed, every, again
+    release(spark)
+
+    @task
     def cores(batches):
+        seen = view()
         for batch in batches:
-            for key, x, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                rows = []
-                for f in found:
+            for key, raw, found in zip(*(batch.column(i) for i in range(3))):
+                rows, x, key = [], seen(raw.as_py()), key.as_py()
+                for f in found.as_py():
                     at = f["at"]
                     for lo, hi, edge in ranges(f["lo"], f["hi"], at):
                         core = xxhash.xxh3_64_intdigest(x[edge : edge - STEP + 1 + length], at - edge) - (1 << 63)
                         rows.append((core, xxhash.xxh3_128_digest(x[lo : hi + length], at - lo), lo, hi, at))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([key] * len(rows), pa.binary()), *(pa.array([r[i] for r in rows], pa.int32()) for i in (2, 3, 4))], names=["core", "piece", "key", "lo", "hi", "at"])
 
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("found"))
-    held = cut(some.join(lists, "key").mapInArrow(cores, "core long, piece binary, key binary, lo int, hi int, at int"))
+    held = cut(_once(long_, wanted).select("key", "raw", "found").mapInArrow(cores, "core long, piece binary, key binary, lo int, hi int, at int"))
+    del wanted
     pieces = held.groupBy("core", "piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi", "at")).alias("one"))
     groups = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
     pieces = cut(pieces.join(groups, "core").select("core", "piece", "n", "one", "kinds"))
+    del groups
+    release(spark)
     # a core with one piece only: all its windows are repeated; the others' pieces meet in suffix arrays
     whole = pieces.where("kinds = 1").select("core", "piece", F.array(F.struct(F.lit(0).alias("a"), (F.col("one.hi") - F.col("one.lo")).alias("b"))).alias("starts"))
-    asked = pieces.where("kinds > 1").groupBy("one.key").agg(F.collect_list(F.struct("core", "piece", "n", "one.lo", "one.hi", "one.at")).alias("asked"))
+    asked = cut(pieces.where("kinds > 1").groupBy("one.key").agg(F.collect_list(F.struct("core", "piece", "n", "one.lo", "one.hi", "one.at")).alias("asked")))
 
+    @task
     def fetch(batches):
+        seen = view()
         for batch in batches:
-            for x, asked_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for raw, asked_ in zip(batch.column(0), batch.column(1)):
+                x, asked_ = seen(raw.as_py()), asked_.as_py()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([p["core"] for p in asked_], pa.int64()), pa.array([p["piece"] for p in asked_], pa.binary()), pa.array([p["n"] for p in asked_], pa.int64()),
                     pa.array([p["at"] - p["lo"] for p in asked_], pa.int32()), pa.array([x[p["lo"] : p["hi"] + length] for p in asked_], pa.binary()),
                 ], names=["core", "piece", "n", "place", "bytes"])
 
+    @task
     def sort(batches):
         for group in by_group(batches, "core"):
             names, counts, places, content = (group.column(i).to_pylist() for i in range(1, 5))
@@ -275,25 +290,29 @@ def _search(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             got = [[{"a": a, "b": b} for a, b in runs(f)] for f in flags]
             yield pa.RecordBatch.from_arrays([group.column(0).combine_chunks(), pa.array(names, pa.binary()), pa.array(got, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["core", "piece", "starts"])
 
-    fetched = some.join(asked, "key").select("raw", "asked").mapInArrow(fetch, "core long, piece binary, n long, place int, bytes binary")
+    fetched = _once(long_, asked).select("raw", "asked").mapInArrow(fetch, "core long, piece binary, n long, place int, bytes binary")
     sorted_ = fetched.repartition("core").sortWithinPartitions("core", "piece").mapInArrow(sort, "core long, piece binary, starts array<struct<a:int,b:int>>")
     starts = whole.unionByName(sorted_.where(F.size("starts") > 0))
     marks = held.select("core", "piece", "key", "lo").join(starts, ["core", "piece"]).select("key", F.explode(F.transform("starts", lambda x: F.struct((F.col("lo") + x["a"]).alias("a"), (F.col("lo") + x["b"] + length).alias("b")))).alias("span"))
     spans = marks.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-    found = copies.withColumn("whole", F.lit(True)).join(spans, "key", "full").select("key", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
-    return found, some
+    found = cut(copies.withColumn("whole", F.lit(True)).join(spans, "key", "full").select("key", F.coalesce("whole", F.lit(False)).alias("whole"), "spans"))
+    del held, pieces, whole, asked, fetched, sorted_, starts, marks, spans
+    release(spark)
+    return found
 
 
 def removal(docs: DataFrame, length: int = LENGTH, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    texts, found, some = find_repeats(docs, length, id_col, text_col)
+    texts = _texts(docs, text_col)
+    found = find_repeats(texts, length)
 
+    @task
     def digests(batches):
         for batch in batches:
             got = [digest(x, [(s["a"], s["b"]) for s in spans]) for x, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=["key", "removed", "runs", "kept"])
 
-    part = some.join(found.where("not whole and spans is not null"), "key").select("key", "raw", "spans").mapInArrow(digests, "key binary, removed long, runs long, kept string")
+    part = _once(texts.select("key", "raw"), found.where("not whole")).select("key", "raw", "spans").mapInArrow(digests, "key binary, removed long, runs long, kept string")
     empty = hashlib.sha256(b"").hexdigest()
     all_ = found.where("whole").select("key", F.lit(-1).cast("long").alias("removed"), F.lit(1).cast("long").alias("runs"), F.lit(empty).alias("kept"))
     out = texts.select(F.col(f"row.`{id_col}`").alias("doc_id"), "n_bytes", "sha", "key").join(part.unionByName(all_), "key", "left")
@@ -301,26 +320,38 @@ def removal(docs: DataFrame, length: int = LENGTH, id_col="doc_id", text_col="te
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce("runs", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_col="doc_id", text_col="text") -> DataFrame:
-    """The columns of docs, each text without its removed bytes. Where a removed run cuts a character, its rest goes
-    too. Texts of which nothing is left stay as empty texts."""
-    texts, found, some = find_repeats(docs, length, id_col, text_col)
+def _rewritten(docs: DataFrame, texts: DataFrame, found: DataFrame, kept: Column, text_col: str) -> DataFrame:
+    """The columns of docs, the text replaced by `kept` where found(key, ...) has a row. Only rows that pass the filter of
+    found's keys move; the others stay where they are."""
+    bits = bits_of(found.select(spot_of("key").alias("at")))
 
-    def strip(batches):
+    @task
+    def mark(batches):
+        shared = bits.value
         for batch in batches:
-            out = []
-            for x, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                flags = np.ones(len(x), bool)
-                for s in spans:
-                    flags[s["a"] : s["b"]] = False
-                out.append(np.frombuffer(x, np.uint8)[flags].tobytes().decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(set_at(shared, batch.column(batch.num_columns - 1).to_numpy()))], names=[*batch.schema.names[:-1], "may"])
+
+    rows = texts.select("row", "key", spot_of("key").alias("at"))
+    marked = rows.mapInArrow(mark, T.StructType(rows.schema.fields[:-1]).add("may", "boolean"))
+    own = lambda c: F.col(f"row.`{c}`")
+    moved = marked.where("may").drop("may").join(found, "key", "left")
+    moved = moved.select(*[F.coalesce(F.when(F.col("whole"), F.lit("")).otherwise(kept), own(c).cast("string")).alias(c) if c == text_col else own(c).alias(c) for c in docs.columns])
+    return marked.where("not may").select(*[own(c).cast("string").alias(c) if c == text_col else own(c).alias(c) for c in docs.columns]).unionAll(moved)
+
+
+@F.arrow_udf(T.StringType())
+def _without(text: pa.Array, spans: pa.Array, coded: pa.Array) -> pa.Array:
+    pairs = lambda x: [(s["a"], s["b"]) for s in x or []]
+    return pa.array([None if t is None else without_words(t, pairs(s), pairs(c)) for t, s, c in zip(text.to_pylist(), spans.to_pylist(), coded.to_pylist())], pa.string())
 
-    part = some.join(found.where("not whole and spans is not null"), "key").select("key", "raw", "spans").mapInArrow(strip, "key binary, kept string")
-    all_ = found.where("whole").select("key", F.lit("").alias("kept"))
-    out = texts.select("row", "key").join(part.unionByName(all_), "key", "left")
-    fields = [F.coalesce("kept", F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*fields)
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text_col="text") -> DataFrame:
+    """The columns of docs, each text without its removed bytes. Where a removed run cuts a character, its rest goes
+    too. Texts of which nothing is left stay as empty texts."""
+    texts = _texts(docs, text_col)
+    found = find_repeats(texts, length).withColumn("coded", F.lit(None).cast("array<struct<a:int,b:int>>"))
+    text = F.when(~F.col("whole"), F.col(f"row.`{text_col}`").cast("string"))
+    return _rewritten(docs, texts, found, _without(text, "spans", "coded"), text_col)
 
 
 def without_words(text: str, spans: list[tuple[int, int]], coded: list[tuple[int, int]]) -> str:
@@ -343,35 +374,20 @@ def without_words(text: str, spans: list[tuple[int, int]], coded: list[tuple[int
     return np.frombuffer(raw, np.uint8)[flags].tobytes().decode("utf-8", "ignore")
 
 
+def word_codes():
+    """A view of texts in which every word (between white space) is CODE bytes of its hash."""
+    cache = WordCache(lambda w: xxhash.xxh3_64_digest(w.encode())[:CODE])
+    return lambda raw: b"".join([cache[w] for w in raw.decode().split()])
+
+
 def without_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH, text_col="text") -> DataFrame:
     """The columns of docs, each text without what repeats for more than `words` words (between white space, which may
     differ) or for at least `length` bytes: scripts without spaces have passages of few words. Both are judged on the
     input."""
     texts = _texts(docs, text_col)
-
-    def code(batches):
-        cache = WordCache(lambda w: xxhash.xxh3_64_digest(w.encode())[:CODE])
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                got = [b"".join([cache[w] for w in x.as_py().decode().split()]) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], names=["text_key", "raw"])
-
-    ship(docs.sparkSession)
-    coded = texts.select("key", "raw").mapInArrow(code, "text_key binary, raw binary")
-    coded = coded.withColumn("key", F.substring(F.unhex(F.sha2("raw", 256)), 1, 16)).withColumn("n_bytes", F.octet_length("raw").cast("long"))
-    by_bytes = cut(_search(texts, length)[0])
-    by_words = cut(_search(coded, (words + 1) * CODE)[0])
-    of_text = coded.select("text_key", "key").join(by_words, "key").select(F.col("text_key").alias("key"), F.col("whole").alias("all"), F.col("spans").alias("coded")).distinct()
-    found = by_bytes.join(of_text, "key", "full").select("key", (F.coalesce("whole", F.lit(False)) | F.coalesce("all", F.lit(False))).alias("whole"), "spans", "coded")
-
-    @F.arrow_udf("string")
-    def strip(text: pa.Array, spans: pa.Array, coded: pa.Array) -> pa.Array:
-        pairs = lambda x: [(s["a"], s["b"]) for s in x or []]
-        return pa.array([None if t is None else without_words(t, pairs(s), pairs(c)) for t, s, c in zip(text.to_pylist(), spans.to_pylist(), coded.to_pylist())], pa.string())
-
-    out = texts.select("row", "key").join(found, "key", "left")
-    text = F.col(f"row.`{text_col}`").cast("string")
-    kept = F.when(F.col("whole"), "").otherwise(F.coalesce(strip(F.when(~F.col("whole"), text), "spans", "coded"), text))
-    fields = [kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*fields)
+    by_bytes = find_repeats(texts, length)
+    by_words = find_repeats(texts, (words + 1) * CODE, word_codes, least=2 * words + 1).select("key", F.col("whole").alias("all"), F.col("spans").alias("coded"))
+    whole = F.coalesce("whole", F.lit(False)) | F.coalesce("all", F.lit(False))
+    found = by_bytes.join(by_words, "key", "full").select("key", whole.alias("whole"), "spans", "coded")
+    text = F.when(~F.col("whole"), F.col(f"row.`{text_col}`").cast("string"))
+    return _rewritten(docs, texts, found, _without(text, "spans", "coded"), text_col)
