@@ -24,13 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .runtime import ship
+from .runtime import ship, task
 
 #: The pre-tokenisation pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 128
 NONE = np.int32(2**31 - 1)
-KNOWN = 250_000
+KNOWN = 120_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -210,18 +210,6 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def codec(raw: bytes) -> Codec:
-    """One codec per worker process and vocabulary."""
-    key = hash(raw)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(raw)
-    return _codecs[key]
-
-
 def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Encode and decode every whole text: (id, n_tokens, ids_sha256, decoded_sha256), and with ids=True also
     token_ids array<int> and decoded. The vocabulary file is read once on the driver and broadcast; its size is fixed."""
@@ -230,8 +218,9 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     with open(vocabulary, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
 
+    @task
     def run(batches):
-        c = codec(raw.value)
+        c = Codec(raw.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .runtime import ship
+from .runtime import ship, task
 
-BUCKETS, ORDERS, SAMPLE, SWITCH, MIN_SHARE, KNOWN = 1 << 16, (1, 2, 3, 4), 1500, 6.0, 0.02, 150_000
+BUCKETS, ORDERS, SAMPLE, SWITCH, MIN_SHARE, KNOWN = 1 << 16, (1, 2, 3, 4), 1500, 6.0, 0.02, 120_000
 #: Code point ranges of scripts.
 SCRIPTS = (
     ("latin", ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF))),
@@ -150,8 +150,9 @@ class Model:
         steps = int(longest[0]) if len(longest) else 0
         active = np.searchsorted(-longest, -np.arange(steps), side="left")
         best = np.zeros((len(sizes), k), np.float32)
-        came = np.zeros((len(scores), k), np.int8)
-        stay = np.arange(k, dtype=np.int8)
+        kind = np.int8 if k <= 127 else np.int16
+        came = np.zeros((len(scores), k), kind)
+        stay = np.arange(k, dtype=kind)
         for t in range(steps):
             n = active[t]
             at = starts[:n] + t
@@ -159,11 +160,11 @@ class Model:
             if t:
                 top = b.argmax(axis=1)
                 jump = (b[np.arange(n), top] - np.float32(SWITCH))[:, None]
-                came[at] = np.where(b >= jump, stay, top[:, None].astype(np.int8))
+                came[at] = np.where(b >= jump, stay, top[:, None].astype(kind))
                 b = np.maximum(b, jump)
             best[:n] = b + scores[at]
         state = best.argmax(axis=1) if len(best) else np.zeros(0, np.int64)
-        path = np.zeros(len(scores), np.int8)
+        path = np.zeros(len(scores), kind)
         for t in range(steps - 1, -1, -1):
             n = active[t]
             at = starts[:n] + t
@@ -211,6 +212,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text",
     for lang in langs:
         pick = pick | ((F.col(lang_col) == lang) & (spot < int((1 << 30) * min(1.0, sample / sizes[lang]))))
 
+    @task
     def count(batches):
         table, scripts = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), OTHER + 1), np.int64)
         words: dict[str, Counter] = {x: Counter() for x in langs}
@@ -242,30 +244,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text",
     return Model(langs, likely, share >= MIN_SHARE)
 
 
-_models: dict[int, Model] = {}
-
-
-def shared_model(shared) -> Model:
-    """One model, with its word cache, per worker process and broadcast."""
-    if id(shared) not in _models:
-        _models.clear()
-        _models[id(shared)] = Model(*shared.value)
-    return _models[id(shared)]
-
-
 def identify(docs: DataFrame, model: Model, payload: list[Column] | None = None, id_col="doc_id", text_col="text", spans: bool = False) -> DataFrame:
     """payload columns (the id), lang_pred, score; with spans=True also array<struct<first,after,lang>> by words."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.allowed))
-    kept = docs.select(*(payload or [F.col(id_col)]), F.col(text_col).alias("__text"))
-    names = kept.columns[:-1]
+    kept = docs.select(*(payload or [F.col(id_col)]))
+    names = kept.columns
+    if text_col not in names:  # a text that is handed on anyway is sent once
+        kept = docs.select(*(payload or [F.col(id_col)]), F.col(text_col).alias("__text"))
+    place = names.index(text_col) if text_col in names else len(names)
 
+    @task
     def run(batches):
-        m = shared_model(shared)
+        m = Model(*shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                texts = part.column(len(names)).to_pylist()
+                texts = part.column(place).to_pylist()
                 found = m.predict(texts)
                 out = [*(part.column(n) for n in range(len(names))), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
                 if spans:
@@ -273,7 +268,7 @@ def identify(docs: DataFrame, model: Model, payload: list[Column] | None = None,
                     out.append(pa.array([[dict(zip(("first", "after", "lang"), s)) for s in m.spans(x or "")] if m.langs else [] for x in texts], kind))
                 yield pa.RecordBatch.from_arrays(out, names=[*names, "lang_pred", "score", *["spans"] * spans])
 
-    schema = T.StructType(kept.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType(kept.schema.fields[: len(names)]).add("lang_pred", "string").add("score", "double")
     if spans:
         schema.add("spans", "array<struct<first:int,after:int,lang:string>>")
     return kept.mapInArrow(run, schema)
