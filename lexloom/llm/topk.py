@@ -1,9 +1,11 @@
-"""Exact top-k inner-product search by ball-tree branch and bound, in shards.
+"""Exact top-k inner-product search by ball-tree branch and bound, in shards that share the current kth score.
 
-Candidates are dealt to shards of bounded size, queries to blocks of bounded size, and every (shard, block) pair is a
-task of its own. A shard's candidates stand in a ball tree; for each query, its nodes are visited in the order of the
-bound q.c + |q| r, and left out once the bound is under the query's current kth score. That score starts from a bounded
-sample of candidates (SEED rows), so every shard shares it from the outset, and the leaves raise it.
+Candidates are dealt to shards of bounded size by a hash, each once. A shard's candidates stand in a ball tree; for each
+query, its nodes are visited in the order of the bound q.c + |q| r, and left out once the bound is under the query's
+current kth score, which the leaves raise. Shards are searched in WAVES: after each, a query's best k so far are merged,
+and the kth score among them goes with the query to the shards of the next. The first waves are small, so most shards
+start from a score that is nearly final. Queries are sent to every shard of a wave and stream through its task; the number
+of candidates in a shard grows with the table up to MAX_SHARD, which bounds a task's memory and the queries' copies.
 
 Components are floor(1024 x). Defined results: vectors that are null, hold null or non-finite components, or have a
 null id take no part; vectors of another length are no candidates of a query; ties go to the smaller id; of repeated
@@ -19,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .runtime import ship
+from .runtime import cut, ship, task
 
-SHARD, BLOCK, LEAF, SEED = 8192, 1024, 48, 2048
+SHARD, MAX_SHARD, LEAF = 8192, 1 << 17, 48
+#: Shares of the shards that have been searched after each wave.
+WAVES = (1 / 32, 1 / 4, 1.0)
 EXACT = float(2**53)
 
 
@@ -101,7 +105,58 @@ class Shard:
         return best
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, shard: int = SHARD, block: int = BLOCK, id_col="vec_id", vector_col="embedding") -> DataFrame:
+def trees(ids: list[np.ndarray], vectors: list[pa.Array], many: list[np.ndarray]) -> dict[int, Shard]:
+    """Of each length of vectors, its candidates."""
+    ids_, many_ = np.concatenate(ids), np.concatenate(many)
+    sizes = np.concatenate([v.value_lengths().to_numpy() for v in vectors])
+    flat = np.concatenate([v.flatten().to_numpy() for v in vectors])
+    ends = np.cumsum(sizes)
+    out = {}
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        out[int(n)] = Shard(ids_[own], flat[(ends[own] - n)[:, None] + np.arange(n)].reshape(len(own), int(n)), many_[own])
+    return out
+
+
+FOUND = {"query_id": pa.int64(), "query": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "many": pa.int32()}
+
+
+def search_shards(candidates: DataFrame, queries: DataFrame, first: int, after: int, k: int) -> DataFrame:
+    """(query_id, query, vec_id, score, many): what each query finds in the shards first..after-1, at least all of their
+    candidates that belong to its best k. candidates (shard, id, v, many), queries (id, v, query, kth)."""
+    own = candidates.where((F.col("shard") >= first) & (F.col("shard") < after)).select("shard", F.lit(0).alias("side"), "id", "v", "many", F.lit(0).cast("long").alias("query"), F.lit(None).cast("long").alias("kth"))
+    sent = queries.select(F.explode(F.sequence(F.lit(first), F.lit(after - 1))).alias("shard"), F.lit(1).alias("side"), "id", "v", F.lit(0).alias("many"), "query", "kth")
+
+    @task
+    def run(batches):
+        at, held, ready = None, ([], [], []), {}
+        for batch in batches:
+            key = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
+            for a, b in zip(edges, edges[1:]):
+                part = batch.slice(a, b - a)
+                shard, side = divmod(int(key[a]), 2)
+                if shard != at:
+                    at, held, ready = shard, ([], [], []), {}
+                if not side:
+                    for into, i in zip(held, (2, 3, 4)):
+                        into.append(part.column(i) if i == 3 else part.column(i).to_numpy())
+                    continue
+                if held[0]:
+                    ready, held = trees(*held), ([], [], [])
+                out = {n: [] for n in FOUND}
+                for q_id, v, query, kth in zip(*(part.column(i).to_pylist() for i in (2, 3, 5, 6))):
+                    if len(v) in ready:
+                        for score, vec_id, copies in ready[len(v)].search(q_id, np.array(v, np.int64), k, -np.inf if kth is None else kth):
+                            for n, x in zip(FOUND, (q_id, query, vec_id, -score, copies)):
+                                out[n].append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, FOUND[n]) for n, x in out.items()], names=list(FOUND))
+
+    dealt = own.unionByName(sent).repartition("shard").sortWithinPartitions("shard", "side")
+    return dealt.mapInArrow(run, "query_id long, query long, vec_id long, score long, many int")
+
+
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, shard: int = SHARD, id_col="vec_id", vector_col="embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by `every`, their k best other rows."""
     spark = vectors.sparkSession
     ship(spark)
@@ -110,49 +165,26 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, shard: int = SHARD,
     rows = vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * 1024).cast("long")).alias("v"))
     rows = rows.groupBy("id", "v").agg(F.count(F.lit(1)).cast("int").alias("many"))
     total = vectors.count()
-    shards, blocks = max(1, -(-total // shard)), max(1, -(-total // (block * every)))
-    spot = F.xxhash64("id", "v")
-    seeds = rows.withColumn("spot", spot).orderBy("spot").limit(SEED).select("id", "v").collect()
-    seed = spark.sparkContext.broadcast([(r.id, r.v) for r in seeds])
-    side = lambda df, name, own, other, n: df.select(F.lit(name).alias("side"), own.alias(f"{name}_at"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(f"{other}_at"), F.col("id").alias(f"{name}_id"), F.col("v").alias(f"{name}_v"), F.col("many").alias(f"{name}_many"))
-    c = side(rows, "c", F.pmod(spot, F.lit(shards)).cast("int"), "q", blocks)
-    q = side(rows.where(F.col("id") % every == 0), "q", F.pmod(F.xxhash64("v", "id"), F.lit(blocks)).cast("int"), "c", shards)
-
-    def pair(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "query": [], "query_many": [], "vec_id": [], "score": [], "many": []}
-        trees, by_size = {}, {}
-        kinds = {"query_id": pa.int64(), "query": pa.list_(pa.int64()), "query_many": pa.int32(), "vec_id": pa.int64(), "score": pa.int64(), "many": pa.int32()}
-        if not (left.num_rows and right.num_rows):
-            return pa.table({n: pa.array([], kind) for n, kind in kinds.items()})
-        sizes = pa.compute.list_value_length(left.column("c_v")).to_numpy()
-        for n in np.unique(sizes):
-            part = left.filter(pa.array(sizes == n))
-            flat = part.column("c_v").combine_chunks().flatten().to_numpy().reshape(part.num_rows, int(n))
-            trees[int(n)] = Shard(part.column("c_id").to_numpy(), flat, part.column("c_many").to_numpy())
-            same = [(i, v) for i, v in seed.value if len(v) == n]
-            by_size[int(n)] = (np.array([i for i, _ in same], np.int64), np.array([v for _, v in same], np.float64).reshape(len(same), int(n)))
-        for q_id, v, many in zip(*(right.column(n).to_pylist() for n in ("q_id", "q_v", "q_many"))):
-            if len(v) not in trees:
-                continue
-            ints = np.array(v, np.int64)
-            s_ids, s_x = by_size[len(v)]
-            got = (s_x @ ints.astype(np.float64))[s_ids != q_id]
-            kth = np.partition(got, -k)[-k] if len(got) >= k else -np.inf
-            kth = kth - abs(kth) * 1e-9 - 1
-            for score, vec_id, copies in trees[len(v)].search(q_id, ints, k, kth):
-                out["query_id"].append(q_id)
-                out["query"].append(v)
-                out["query_many"].append(many)
-                out["vec_id"].append(vec_id)
-                out["score"].append(-score)
-                out["many"].append(copies)
-        return pa.table({n: pa.array(v, kinds[n]) for n, v in out.items()})
-
-    found = c.withColumns({"c": F.col("c_at"), "q": F.col("q_at")}).groupBy("c", "q").cogroup(q.withColumns({"c": F.col("c_at"), "q": F.col("q_at")}).groupBy("c", "q")).applyInArrow(pair, "query_id long, query array<long>, query_many int, vec_id long, score long, many int")
-    found = found.withColumn("query", F.xxhash64("query")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("many", F.lit(k)))))
-    best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    best = best.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("query_many"))))
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    shards = max(1, -(-total // max(shard, min(MAX_SHARD, total // 4096))))
+    candidates = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
+    # what tells a query: its id, and a hash of its vector for ids that repeat
+    asked = rows.where(F.col("id") % every == 0).withColumn("query", F.xxhash64("v", "id"))
+    queries, best, first = asked.withColumn("kth", F.lit(None).cast("long")), None, 0
+    for after in sorted({min(shards, int(np.ceil(shards * w))) for w in WAVES}):
+        found = search_shards(candidates, queries, first, after, k)
+        found = found if best is None else best.unionByName(found)
+        # of the copies that repeat, more than k of one are never needed
+        counted = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id").rowsBetween(W.unboundedPreceding, -1)
+        ahead = F.coalesce(F.sum(F.least(F.col("many"), F.lit(k))).over(counted), F.lit(0))
+        best = cut(found.withColumn("ahead", ahead).where(F.col("ahead") < k).drop("ahead"))
+        kth = best.groupBy("query_id", "query").agg(F.sum("many").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
+        kth = kth.select(F.col("query_id").alias("id"), "query", "kth")
+        queries, first = asked.join(kth, ["id", "query"], "left").select("id", "v", "query", "kth"), after
+    copies = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("many", F.lit(k)))))
+    ranked = copies.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    again = asked.select(F.col("id").alias("query_id"), "query", F.col("many").alias("query_many"))
+    out = ranked.join(again, ["query_id", "query"]).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("query_many"))))
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 #: The same result in DuckDB.
