@@ -5,9 +5,11 @@ has none. Each shingle is hashed once: the high bits name its bin, and a bin kee
 the full bin that its own hash sequence names first (the same sequence for every document). Of each bin the lowest BITS
 bits are kept, packed and written as hexadecimal. Likeness is (matches / BINS - 2^-BITS) / (1 - 2^-BITS), not below 0.
 
-`fingerprint_edits` pairs every document with the next one by descending id. Documents are dealt into ranges of ids;
-the first document of each range is also sent to the range before it, so every pair meets in one task and each text is
-moved once. Tasks read their range sorted, a few rows at a time.
+`fingerprint_edits` pairs every document with the next one by descending id. Documents are dealt into ranges of about
+RANGE_ROWS of them in the order of id and text hash; the first document of each range is also sent to the range before
+it, so every pair meets in one task and each text is moved once. The ranges' edges come from a hashed sample of positions
+(id and hash, no texts) of at most some 16 a range. Tasks read their range sorted, a few rows at a time, so a range's size
+bounds no memory; beyond MAX_RANGES ranges, they grow.
 
 Defined results: null text is empty; a text without words has the empty fingerprint, of likeness 1 to another empty one
 and 0 to any other; null ids come last; rows of equal id are ordered by a hash of their text; a single document is its
@@ -16,6 +18,7 @@ own next; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -23,10 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .runtime import ship
+from .runtime import ship, task
 
 SHINGLE, BINS, BITS, TRIES = 5, 512, 4, 64
-RANGE_ROWS, MAX_RANGES = 4000, 1024
+RANGE_ROWS, MAX_RANGES, PER_RANGE = 4000, 1 << 16, 16
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -101,6 +104,7 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
     ship(docs.sparkSession)
     kept = docs.select(F.col(id_col), F.col(text_col))
 
+    @task
     def run(batches):
         for batch in batches:
             prints = [pack(bins(shingle_hashes(x.as_py(), shingle))) for x in batch.column(1)]
@@ -109,32 +113,53 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fingerprint string")
 
 
+def rank(doc_id: int | None, tie: int) -> tuple[int, int, int]:
+    """A document's place: descending id, null last, then descending hash."""
+    return (1, 0, -tie) if doc_id is None else (0, -doc_id, -tie)
+
+
 def fingerprint_edits(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    spots = rows.select("doc_id", "tie")
     n = rows.count()
     ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    edges = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10000).alias("e")).first()["e"] or []
-    edges = sorted(set(edges)) if ranges > 1 else []
-    cuts = F.array(*[F.lit(e).cast("long") for e in edges]) if edges else F.expr("cast(array() as array<long>)")
-    at = F.when(F.col("doc_id").isNull(), F.lit(len(edges) + 1)).otherwise(F.size(F.filter(cuts, lambda e: e > F.col("doc_id"))))
-    rows = rows.withColumn("at", at.cast("int")).withColumn("tie", F.xxhash64("text"))
-    # the first row of each range in the order (id descending, nulls last, tie): at most MAX_RANGES + 2 of them
-    first = rows.groupBy("at").agg(F.max(F.struct("doc_id", "tie")).alias("f")).orderBy("at").select("at", "f.doc_id", "f.tie").collect()
+    edges = []
+    if ranges > 1:
+        part = max(1, n // (ranges * PER_RANGE))
+        sample = spots.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit("edge")), F.lit(part)) == 0).distinct().collect()
+        ranked = sorted(rank(r["doc_id"], r["tie"]) for r in sample)
+        edges = sorted({ranked[len(ranked) * i // ranges] for i in range(1, ranges)}) if ranked else []
+    shared = spark.sparkContext.broadcast(edges)
+
+    def place(batches):
+        for batch in batches:
+            at = [bisect.bisect_right(shared.value, rank(*x)) for x in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=["doc_id", "tie", "at"])
+
+    # the first row of each range (id descending, nulls last, then hash): at most MAX_RANGES of them, without texts
+    first = spots.mapInArrow(place, "doc_id long, tie long, at int").groupBy("at").agg(F.max(F.struct("doc_id", "tie")).alias("f")).orderBy("at").select("at", "f.doc_id", "f.tie").collect()
     used = [r["at"] for r in first]
-    before = {r["at"]: used[i - 1] for i, r in enumerate(first)}
-    heads = F.lit(None).cast("int")
-    if first:
-        marks = docs.sparkSession.createDataFrame([(r["at"], r["doc_id"], r["tie"], before[r["at"]]) for r in first], "at int, doc_id long, tie long, to int")
-        marked = rows.join(F.broadcast(marks.withColumnsRenamed({"at": "m_at", "doc_id": "m_id", "tie": "m_tie"})), (F.col("at") == F.col("m_at")) & F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tie") == F.col("m_tie")), "left")
-        heads = F.col("to")
-    else:
-        marked = rows
-    sent = F.array_compact(F.array(F.struct(F.col("at").alias("at"), F.lit(False).alias("end")), F.when(heads.isNotNull(), F.struct(heads.alias("at"), F.lit(True).alias("end")))))
-    dealt = marked.select("doc_id", "text", "tie", F.explode(sent).alias("s")).select("doc_id", "text", "tie", "s.at", "s.end")
+    heads = spark.sparkContext.broadcast({(r["doc_id"], r["tie"]): used[i - 1] for i, r in enumerate(first)})
+
+    @task
+    def deal(batches):
+        for batch in batches:
+            spot = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+            at = [bisect.bisect_right(shared.value, rank(*x)) for x in spot]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32()), pa.array([False] * len(at))], names=["doc_id", "text", "tie", "at", "end"])
+            sent = [i for i, x in enumerate(spot) if x in heads.value]
+            if sent:
+                to = [heads.value[spot[i]] for i in sent]
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(sent)).columns, pa.array(to, pa.int32()), pa.array([True] * len(to))], names=["doc_id", "text", "tie", "at", "end"])
+
+    dealt = rows.mapInArrow(deal, "doc_id long, text string, tie long, at int, end boolean")
     dealt = dealt.repartition("at").sortWithinPartitions("at", "end", F.desc_nulls_last("doc_id"), F.desc("tie"))
 
+    @task
     def run(batches):
         held = None
         for batch in batches:
