@@ -2,7 +2,7 @@
 
 Every source has a weight and a schedule of how its rate changes over training time 0..1. Its target is its weight's
 share of all words, at most CAP times its own size; what is cut off is shared again by weight. A source's documents
-lie one after another, in the order of a hash of their id, on the axis of its cumulative words, epoch after epoch; a
+lie one after another, in the order of a hash of their id and text, on the axis of its cumulative words, epoch after epoch; a
 copy is taken if its middle lies below the target. The schedule's integral is the source's cumulative demand, so
 inverting it at a copy's middle gives the copy's training position, by which the mix is range-sorted.
 
@@ -60,18 +60,19 @@ def plan(docs: DataFrame, payload: dict[str, Column], weights=WEIGHTS, schedules
     """A row for each document: payload, size, source_size, target, taken, copies, start, class."""
     rows = docs.count()
     digits = max(0, ceil(log(max(1, rows / ROWS_PER_BUCKET), 16)))
-    key = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
+    # a hash of id and text: null ids, or one id of many texts, spread over buckets too
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
     base = docs.select(
         *[c.alias(n) for n, c in payload.items()],
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"), F.col(source_col).isNull().alias("s_null"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        key.alias("h"), F.substring(key, 1, digits).alias("bucket"), F.xxhash64(F.col(text_col)).alias("tie"),
-    )
+        key.alias("h"),
+    ).withColumn("bucket", F.substring("h", 1, digits))
     by_bucket = base.groupBy("s", "s_null", "bucket").agg(F.sum("size").alias("bucket_size"))
     sized = targets(by_bucket.groupBy("s", "s_null").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
     along = W.partitionBy("s", "s_null").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = by_bucket.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(along), F.lit(0))).join(sized, ["s", "s_null"])
-    within = W.partitionBy("s", "s_null", "bucket").orderBy("h", "tie", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("s", "s_null", "bucket").orderBy("h").rowsBetween(W.unboundedPreceding, -1)
     placed = base.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["s", "s_null", "bucket"])
     middle = F.col("bucket_start") + F.col("in_bucket") + F.col("size") / 2
     copies = F.least(F.lit(int(cap)), F.greatest(F.lit(0), F.floor((F.col("target") - middle) / F.col("source_size")) + 1))
@@ -109,7 +110,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 #: The same result in DuckDB.
 SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, source IS NULL AS s_null, md5(doc_id::VARCHAR) AS h,
+WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, source IS NULL AS s_null, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h,
   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 src AS (SELECT s, s_null, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY s_null, s) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 3.0::DOUBLE AS lim FROM src),
