@@ -283,7 +283,7 @@ def test_topk_edges(spark):
     data = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(301)]
     data += [(400, [1.0, float("nan"), 0.0, 0.0]), (500, None), (600, [1.0, None, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0]), (700, [1.0, 2.0]), (100, data[100][1]), (50, data[50][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("id", F.lit("x"))
-    got = Counter(map(tuple, topk.top_k(df, shard=64, block=2).collect()))
+    got = Counter(map(tuple, topk.top_k(df, shard=20).collect()))
     fine = [(i, tuple(int(np.floor(1024 * x)) for x in v)) for i, v in data if i is not None and v and all(x is not None and x == x for x in v)]
     want = Counter()
     for n, (i, v) in enumerate(fine):
@@ -291,10 +291,21 @@ def test_topk_edges(spark):
             scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(fine) if m != n and len(w) == len(v))[:10]
             for rank, (s, j) in enumerate(scored, 1):
                 want[i, rank, j, -s] += 1
-    assert got == want
+    assert got == want == Counter(map(tuple, topk.top_k(df, shard=4000).collect()))
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_waves_pass_the_kth_score_on(spark):
+    """The search of later shards starts from the kth score of the first ones, and so returns less."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(400)], "id long, v array<double>").select("id", F.transform("v", lambda x: F.floor(x * 1024).cast("long")).alias("v"))
+    candidates = df.withColumns({"many": F.lit(1), "shard": F.pmod(F.xxhash64("id", "v"), F.lit(4)).cast("int")})
+    queries = df.where("id % 100 = 0").withColumns({"query": F.col("id"), "kth": F.lit(None).cast("long")})
+    first = topk.search_shards(candidates, queries, 0, 1, 5).groupBy("query").agg(F.min("score").alias("low"))
+    known = queries.drop("kth").join(first, "query").withColumnRenamed("low", "kth")
+    assert topk.search_shards(candidates, known, 1, 4, 5).count() < topk.search_shards(candidates, queries, 1, 4, 5).count()
+
+
 # -- 9 quality
 
 
@@ -310,6 +321,44 @@ def test_quality(spark, docs, edge, empty):
     assert quality.resample(edge, labels.limit(0)).count() == edge.count() and quality.resample(empty, labels).count() == 0
 
 
+def plain_quality(rows_, good, share):
+    """Log weights by loops over words and pairs, and the k highest keys."""
+    counts = {i: Counter(quality.ngrams(t).tolist()) for i, (_, t) in enumerate(rows_)}
+    raw, aim = sum(counts.values(), Counter()), sum((counts[i] for i, (d, _) in enumerate(rows_) if d in good), Counter())
+    aim = aim or raw
+    n, total, wanted = quality.BUCKETS, sum(raw.values()), sum(aim.values())
+    smooth = {b: (raw[b] + 1) / (total + n) for b in raw}
+    ratio = {b: np.log((aim[b] + n * smooth[b]) / (wanted + n)) - np.log(smooth[b]) for b in raw}
+    return {i: sum(c * ratio[b] for b, c in counts[i].items()) for i in counts}
+
+
+def test_quality_weights_and_sample_are_exact(spark):
+    rng = random.Random(12)
+    rows_ = [(rng.choice([None, *range(60)]), rng.choice([None, "", "x", *(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 30))) for _ in range(40))])) for _ in range(300)]
+    rows_ += [(7, "same text")] * 80
+    good = set(range(0, 60, 3))
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in good] * 2 + [(1, 0), (None, 1)], "doc_id long, quality int")
+    out = quality.resample(df, labels, 0.3).collect()
+    want = plain_quality(rows_, good, 0.3)
+    got = Counter((r["doc_id"], round(r["log_weight"], 6)) for r in out)
+    assert got == Counter((d, round(want[i], 6)) for i, (d, _) in enumerate(rows_))
+    noise = {r["doc_id"]: r["g"] for r in df.select("doc_id").distinct().select("doc_id", (-F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit("gumbel")), F.lit(1 << 40)) + 0.5) / float(1 << 40)))).alias("g")).collect()}
+    assert all(r["key"] == pytest.approx(r["log_weight"] + noise[r["doc_id"]]) for r in out)
+    keys = sorted((r["key"] for r in out), reverse=True)
+    k = int(len(rows_) * 0.3)
+    assert sum(r["selected"] for r in out) == k and all(r["selected"] if r["key"] > keys[k - 1] else not r["selected"] if r["key"] < keys[k - 1] else True for r in out)
+
+
+@pytest.mark.parametrize("values", [[1.0] * 50, [1e300, -1e300, 0.0, 1e-300, 5.0] * 4, [float(i) for i in range(100)] + [1e9], [0.0, 5e-324]])
+def test_kth_highest_is_a_sort(spark, values):
+    df = spark.createDataFrame([(v, 1 + i % 3) for i, v in enumerate(values)], "v double, n long")
+    every = sorted((v for i, v in enumerate(values) for _ in range(1 + i % 3)), reverse=True)
+    for k in (1, 2, len(every) // 2, len(every)):
+        assert quality.kth_highest(df, "v", k) == (every[k - 1], sum(v > every[k - 1] for v in every))
+    assert quality.kth_highest(df, "v", 0)[0] is None and quality.kth_highest(df.limit(0), "v", 3)[0] is None
+
+
 # -- 10 fingerprints
 
 
@@ -330,3 +379,56 @@ def test_fingerprints(spark, docs, edge, empty):
     assert all(prints.setdefault(t, out[i]["fingerprint"]) == out[i]["fingerprint"] for i, t in texts)
     assert fingerprint.fingerprint_edits(edge).count() == edge.count() and fingerprint.fingerprint_edits(empty).count() == 0
     assert fingerprint.fingerprints(edge).count() == edge.count()
+
+
+def test_fingerprint_ranges_change_no_result(spark, monkeypatch):
+    """Null and repeated ids lie in several ranges; pairs are those of one sorted list."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    df = spark.createDataFrame([(rng.choice([None, 5, *range(40)]), t) for t in texts], "doc_id long, text string")
+    one = Counter(map(tuple, fingerprint.fingerprint_edits(df).collect()))
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
+    assert Counter(map(tuple, fingerprint.fingerprint_edits(df).collect())) == one
+    ties = {r["text"]: r["tie"] for r in df.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda x: fingerprint.rank(x[0], ties[x[1]]))
+    want = Counter()
+    for n, (i, t) in enumerate(order):
+        half = len(t) // 2
+        want[i, len(t), hashlib.sha256((t[: len(t) - half] + order[(n + 1) % len(order)][1][:half]).encode()).hexdigest()] += 1
+    assert Counter(x[:3] for x in one.elements()) == want
+
+
+def test_langid_matches_a_plain_version(spark, docs):
+    """Scores of every word by a loop over its n-grams, and Viterbi by a loop over languages."""
+    model = langid.fit(docs)
+    texts = [r["text"] for r in docs.limit(25).collect()] + ["", "12 ?", "the der le el кот", "x" * 60]
+
+    def word_scores(word):
+        total = np.zeros(len(model.langs))
+        for piece in langid.pieces(word):
+            spots = langid.features([piece])[0]
+            likely = model.table[spots].astype(float).sum(axis=0) * min(len(piece), 8) / max(len(spots), 1)
+            allowed = model.allowed[langid.script(piece[0])]
+            if allowed.any():
+                likely = np.where(allowed, likely, likely[allowed].min() - 8.0)
+            total += likely - likely.max()
+        return total - total.max()
+
+    for text, (lang, score) in zip(texts, model.predict(texts)):
+        words = text.split()
+        table = [word_scores(w) for w in words]
+        best, came = np.zeros(len(model.langs)), []
+        for n, s in enumerate(table):
+            if n:
+                jump = best.max() - langid.SWITCH
+                came.append([i if best[i] >= jump else int(best.argmax()) for i in range(len(best))])
+                best = np.maximum(best, jump)
+            best = best + s
+        path = [int(best.argmax())] if words else []
+        for back in reversed(came):
+            path.append(back[path[-1]])
+        letters = [sum(map(len, langid.pieces(w))) for w in words]
+        held = Counter()
+        for x, n in zip(reversed(path), letters):
+            held[model.langs[x]] += n
+        assert lang == ("und" if not sum(letters) else max(sorted(held), key=held.__getitem__)) and 0 <= score <= 1
