@@ -14,9 +14,10 @@ from lexloom.llm import bpe, langid, mixing, neardup, repeats
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text, or no letter) go."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    found = langid.identify(rows, langid.fit(docs), [F.col("row")])
-    return found.where("lang_pred <> 'und'").select("row.*")
+    named = {c: f"c{n}" for n, c in enumerate(docs.columns)}  # a column of docs may be called as one of the result
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    found = langid.identify(rows, langid.fit(docs), [F.col(n) for n in named.values()], text_col=named["text"])
+    return found.where("lang_pred <> 'und'").select(*[F.col(n).alias(c) for c, n in named.items()])
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
