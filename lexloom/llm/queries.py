@@ -58,4 +58,4 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_langid": op1_langid, "op4_neardup": op4_neardup, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint, "op2_mixing": op2_mixing, "op3_sharding": op3_sharding, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_repeats": op7_repeats, "op8_topk": op8_topk}
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op5_chat": chat.SQL, "op8_topk": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op4_neardup": neardup.SQL, "op5_chat": chat.SQL, "op7_repeats": repeats.SQL, "op8_topk": topk.SQL}

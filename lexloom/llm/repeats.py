@@ -391,3 +391,26 @@ def without_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH,
     found = by_bytes.join(by_words, "key", "full").select("key", whole.alias("whole"), "spans", "coded")
     text = F.when(~F.col("whole"), F.col(f"row.`{text_col}`").cast("string"))
     return _rewritten(docs, texts, found, _without(text, "spans", "coded"), text_col)
+
+
+#: The result of removal() for 400 bytes, in DuckDB: a polynomial hash modulo 2^61 - 1 of every window of every text, from
+#: prefix sums, so that equal windows have equal hashes wherever they start. Texts have at most 2^30 bytes.
+SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS raw FROM documents),
+q AS (SELECT 2305843009213693951::HUGEINT AS p, 1234567890123456789::HUGEINT AS base),
+lo AS (SELECT 0 AS j, 1::HUGEINT AS v UNION ALL SELECT j + 1, v * base % p FROM lo, q WHERE j < 1023),
+step AS (SELECT v * base % p AS v FROM lo, q WHERE j = 1023),
+hi AS (SELECT 0 AS j, 1::HUGEINT AS v UNION ALL SELECT j + 1, hi.v * step.v % p FROM hi, step, q WHERE j < (SELECT max(len(raw)) // 1024 + 1 FROM d)),
+b AS (SELECT k, unnest(raw) AS h, generate_subscripts(raw, 1) - 1 AS i FROM d),
+m AS (SELECT coalesce(max(i), 0) AS m FROM b),
+t AS (SELECT k, h, i, (('0x' || h)::INTEGER + 1) * lo.v % p * hi.v % p AS t FROM b JOIN lo ON lo.j = i % 1024 JOIN hi ON hi.j = i // 1024, q),
+s AS (SELECT k, h, i, t, sum(t) OVER (PARTITION BY k ORDER BY i) AS s FROM t),
+w AS (SELECT k, i, lead(s, 399) OVER (PARTITION BY k ORDER BY i) - s + t AS w FROM s),
+z AS (SELECT k, i, w % p * lo.v % p * hi.v % p AS z FROM w JOIN m ON true JOIN lo ON lo.j = (m - i) % 1024 JOIN hi ON hi.j = (m - i) // 1024, q WHERE w IS NOT NULL),
+r AS (SELECT z FROM z GROUP BY z HAVING count(*) > 1),
+f AS (SELECT k, i FROM z WHERE z IN (SELECT z FROM r)),
+c AS (SELECT b.k AS k, b.i AS i, h, max(f.i) OVER (PARTITION BY b.k ORDER BY b.i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM b LEFT JOIN f ON b.k = f.k AND b.i = f.i),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY k ORDER BY i), false) AS first FROM c),
+g AS (SELECT k, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, string_agg(h, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY k)
+SELECT doc_id, len(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g ON d.k = g.k
+"""
