@@ -299,7 +299,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, share: float, least
     few = rows.where(F.col("__u") <= bound)
     got = few.groupBy(F.col("__s").alias("__t")).agg(F.count(F.lit(1)).alias("__got"))
     short = sizes.join(got, F.col("__s").eqNullSafe(F.col("__t")), "left").where(F.coalesce("__got", F.lit(0)) < F.col("__q")).select(F.col("__s").alias("__t"))
-    rest = rows.where(F.col("__u") > bound).join(F.broadcast(short), F.col("__s").eqNullSafe(F.col("__t")), "left_semi")
+    rest = rows.where(F.col("__u") > bound).join(short, F.col("__s").eqNullSafe(F.col("__t")), "left_semi")
     best = W.partitionBy("__s").orderBy("__h", key)
     return few.unionByName(rest).withColumn("__r", F.row_number().over(best)).where("__r <= __q").select(*df.columns)
 

@@ -212,11 +212,11 @@ def jn14_term_lookup(spark, d):
     return R.find_terms(table(spark, d, "documents"), "doc_id", T.word_tokens(F.col("text")), terms)
 
 
-@query(r"WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(text) - 4) + 1), lambda i: substr(text, i, 5))) AS g FROM documents WHERE length(text) > 0) SELECT doc_id, len(g) AS n_shingles, md5(array_to_string(list_sort(list_transform(g, lambda x: md5(x))), '')) AS digest FROM s")
+@query(r"WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(text) - 4) + 1), lambda i: substr(text, i, 5))) AS g FROM documents WHERE length(text) > 0) SELECT doc_id, len(g) AS n_shingles, md5(array_to_string(list_sort(g), chr(31))) AS digest FROM s")
 def sk1_sk2_shingles(spark, d):
     docs = table(spark, d, "documents").where(F.length("text") > 0)
     found = docs.select("doc_id", F.array_distinct(S.char_shingles(F.col("text"))).alias("g"))
-    return found.select("doc_id", F.size("g").alias("n_shingles"), F.md5(F.array_join(F.array_sort(F.transform("g", lambda x: F.md5(x))), "")).alias("digest"))
+    return found.select("doc_id", F.size("g").alias("n_shingles"), F.md5(F.array_join(F.sort_array("g"), "\x1f")).alias("digest"))
 
 
 @query("SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)")

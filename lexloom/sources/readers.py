@@ -123,7 +123,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     starts = counts.select("at", "first", before.alias("before"))
     number = F.col("before") + F.col("id") - F.col("first")
     text = F.when(number == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
-    return placed.join(F.broadcast(starts), "at").select(number.alias("line_no"), text.alias("line"))
+    return placed.join(starts, "at").select(number.alias("line_no"), text.alias("line"))
 
 
 def aligned_lines(spark: SparkSession, first: str, second: str, names: tuple[str, str] = ("mk", "sq")) -> DataFrame:
