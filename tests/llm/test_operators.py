@@ -50,7 +50,7 @@ def test_langid_viterbi_is_best(docs):
     rng = np.random.default_rng(1)
     model = langid.Model(["a", "b", "c"], np.zeros((langid.BUCKETS, 3), np.float32), np.ones((langid.OTHER + 1, 3), bool))
     words = {f"w{chr(97 + i)}": rng.normal(0, 4, 3).astype(np.float32) for i in range(6)}
-    model.known = {w: (s.tobytes(), 1) for w, s in words.items()}
+    model.remember(list(words), np.stack(list(words.values())), np.ones(len(words), np.int64))
     import itertools
 
     for n in (1, 2, 5):
