@@ -228,6 +228,22 @@ def base_rows(results: DataFrame, model: str = "base") -> DataFrame:
     return results.where(F.col("model") == model).drop(*[c for c in results.columns if c.endswith("_delta_vs_base")])
 
 
+def registry_rows(results: DataFrame, experiments: DataFrame, metrics: Sequence[str], share: str, owner: str, base: str = "base") -> DataFrame:
+    """The tall registry of (exp_id, test_set, subset, direction, model, n, a column for each metric, share): a row for each
+    metric that has a value, and one for each share of a subset, whatever the models. experiments (exp_id, paper_arm,
+    status): only those that are done count. Rows of the base model belong to its owner: the owner's own results give them,
+    and other experiments' copies are left out. Sorted by all that names a value."""
+    done = experiments.where(F.col("status") == "done").select("exp_id", "paper_arm")
+    rows = results.join(done, "exp_id")
+    names = ["exp_id", "paper_arm", "test_set", "subset", "direction"]
+    mine = rows.where((F.col("exp_id") == owner) == (F.col("model") == base))
+    scores = mine.unpivot([*names, "model", "n"], list(metrics), "metric", "value").withColumnRenamed("model", "model_variant").where(F.col("value").isNotNull())
+    shares = rows.where(F.col("exp_id") != owner).groupBy(*names).agg(F.max("n").alias("n"), F.max(share).alias("value"))
+    shares = shares.select(*names, F.lit("-").alias("model_variant"), "n", F.lit("share_of_pairs_pct").alias("metric"), F.col("value").cast("double").alias("value"))
+    order = ["exp_id", "test_set", "subset", "direction", "model_variant", "metric"]
+    return scores.withColumn("value", F.col("value").cast("double")).unionByName(shares).dropDuplicates(order).orderBy(*order)
+
+
 def deltas(results: DataFrame, by: Sequence[str], scores: Sequence[str], other: str, base: str = "base") -> DataFrame:
     """(by..., score_delta...) of one model over another, to two places."""
     pick = lambda m, end: results.where(F.col("model") == m).select(*by, *[F.col(s).alias(f"{s}{end}") for s in scores])

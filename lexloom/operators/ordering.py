@@ -153,4 +153,4 @@ def running_flags(df: DataFrame, order: str, value: str, times: float, least: in
                 seen.add(float(x))
             yield pd.DataFrame({order: pdf[order], value: pdf[value], "median_before": pd.Series(medians, dtype="float64"), "anomalous": flags})
 
-    return df.select(order, value).orderBy(order).coalesce(1).mapInPandas(run, schema)
+    return df.select(order, value).repartition(1).sortWithinPartitions(order).mapInPandas(run, schema)

@@ -49,6 +49,11 @@ def flt10_flt12_switches(spark, d):
     return s.select("pair_id", by_score.alias("by_score"), by_flag.alias("by_flag"), R.flagged_or_scored(F.col("hq"), F.col("conf")).alias("kept"))
 
 
+@query(SCORED_SQL + " SELECT pair_id, score FROM s WHERE score >= 0.7", pairs=True)
+def flt11_score_threshold(spark, d):
+    return scored(spark, d).where(F.col("score") >= 0.7).select("pair_id", "score")
+
+
 @query(", t AS (SELECT " + _TOK.format("mk", "3.2") + "::INTEGER AS a, " + _TOK.format("sq", "3.6") + "::INTEGER AS b FROM p) SELECT count(*) AS rows, count(*) FILTER (a BETWEEN 40 AND 192 AND b BETWEEN 40 AND 192) AS kept, count(*) FILTER (a < 40) + count(*) FILTER (b < 40) AS too_short, count(*) FILTER (a > 192) + count(*) FILTER (b > 192) AS too_long FROM t", pairs=True)
 def flt14_token_window(spark, d):
     return R.token_window(pairs(spark, d), T.approx_tokens(F.col("mk"), 3.2), T.approx_tokens(F.col("sq"), 3.6), 40, 192)[1]

@@ -117,10 +117,17 @@ def ev4_deltas(spark, d):
     return s.join(base, "direction", "left").select("model", "direction", "score", (F.col("score") - F.col("base")).alias("delta"))
 
 
-@query("WITH s AS (SELECT lang AS model, count(*)::DOUBLE AS n, avg(n_chars) AS mean FROM documents GROUP BY lang) SELECT model, 'n' AS metric, n AS value FROM s UNION ALL SELECT model, 'mean', mean FROM s")
+@query("WITH r AS (SELECT source AS exp_id, lang AS direction, CASE WHEN doc_id % 3 = 0 THEN 'base' ELSE 'm' || (doc_id % 3) END AS model, avg(n_chars) AS mean, CASE WHEN count(*) > 1 THEN max(n_chars)::DOUBLE END AS top, count(*) AS n FROM documents GROUP BY ALL), a AS (SELECT *, sum(n) OVER (PARTITION BY exp_id, direction) * 100.0::DOUBLE / sum(n) OVER (PARTITION BY exp_id) AS pct, max(n) OVER (PARTITION BY exp_id, direction) AS most FROM r WHERE exp_id NOT IN ('src4', 'src7')), v AS (SELECT *, CASE WHEN exp_id = 'src0' THEN model = 'base' ELSE model <> 'base' END AS mine FROM a) SELECT exp_id, 'arm-' || exp_id AS paper_arm, 'all' AS test_set, direction AS subset, 'any' AS direction, model AS model_variant, n, 'mean' AS metric, mean AS value FROM v WHERE mine UNION ALL SELECT exp_id, 'arm-' || exp_id, 'all', direction, 'any', model, n, 'top', top FROM v WHERE mine AND top IS NOT NULL UNION ALL SELECT DISTINCT exp_id, 'arm-' || exp_id, 'all', direction, 'any', '-', most, 'share_of_pairs_pct', pct FROM a WHERE exp_id <> 'src0'")
 def ev11_registry(spark, d):
-    s = table(spark, d, "documents").groupBy(F.col("lang").alias("model")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("n_chars").alias("mean"))
-    return s.unpivot(["model"], ["n", "mean"], "metric", "value").dropDuplicates(["model", "metric"])
+    """Sources are experiments, languages subsets; two experiments are not done."""
+    k = F.col("doc_id") % 3
+    model = F.when(k == 0, F.lit("base")).otherwise(F.concat(F.lit("m"), k))
+    r = table(spark, d, "documents").groupBy(F.col("source").alias("exp_id"), F.col("lang").alias("subset"), model.alias("model")).agg(F.avg("n_chars").alias("mean"), F.when(F.count(F.lit(1)) > 1, F.max("n_chars").cast("double")).alias("top"), F.count(F.lit(1)).alias("n"))
+    whole = r.groupBy("exp_id").agg(F.sum("n").alias("whole"))
+    shares = r.groupBy("exp_id", "subset").agg(F.sum("n").alias("part")).join(whole, "exp_id").select("exp_id", "subset", (F.col("part") * 100.0 / F.col("whole")).alias("pct"))
+    results = r.join(shares, ["exp_id", "subset"]).withColumns({"test_set": F.lit("all"), "direction": F.lit("any")})
+    experiments = r.select("exp_id").distinct().select("exp_id", F.concat(F.lit("arm-"), "exp_id").alias("paper_arm"), F.when(F.col("exp_id").isin("src4", "src7"), "running").otherwise("done").alias("status"))
+    return M.registry_rows(results, experiments, ["mean", "top"], "pct", "src0")
 
 
 @query("SELECT pair_id, trim(sq) = '' AS empty, sq = mk AS copied, length(sq) AS n FROM p", pairs=True)
