@@ -18,6 +18,8 @@ repeated rows give repeated results; whole texts are read, whatever their length
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .runtime import ship, task
 
-BUCKETS, ORDERS, SAMPLE, SWITCH, MIN_SHARE, KNOWN = 1 << 16, (1, 2, 3, 4), 1500, 6.0, 0.02, 120_000
+BUCKETS, ORDERS, SAMPLE, SWITCH, MIN_SHARE, KNOWN = 1 << 16, (1, 2, 3, 4), 1500, 6.0, 0.02, 150_000
 #: Code point ranges of scripts.
 SCRIPTS = (
     ("latin", ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF))),
@@ -39,6 +41,7 @@ OTHER = len(SCRIPTS)
 PIECE = 24
 
 
+@lru_cache(1 << 16)
 def script(letter: str) -> int:
     c = ord(letter)
     return next((n for n, (_, ranges) in enumerate(SCRIPTS) if any(a <= c <= b for a, b in ranges)), OTHER)
@@ -92,31 +95,45 @@ class Model:
 
     def __init__(self, langs: list[str], table: np.ndarray, allowed: np.ndarray):
         self.langs, self.table, self.allowed = langs, table, allowed
-        self.known: dict[str, tuple[bytes, int]] = {}
-        self.older: dict[str, tuple[bytes, int]] = {}
-
-    def learn(self, words: set[str]) -> dict[str, tuple[bytes, int]]:
-        """word -> (its scores relative to the best as packed float32, letters). Scores of a batch's new words are
-        computed together; what is known is kept in two generations of bounded size."""
-        table, new = {}, []
-        for w in words:
-            got = self.known.get(w)
-            if got is None:
-                got = self.older.get(w)
-                if got is None:
-                    new.append(w)
-                    continue
-                self.known[w] = got
-            table[w] = got
+        self.clear()
+
+    def clear(self) -> None:
+        """Known words by their row in `scores` (relative to the best) and `letters`, and an older generation of them."""
+        self.known: dict[str, int] = {}
+        self.scores, self.letters = np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64)
+        self.older: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, self.scores, self.letters)
+
+    def remember(self, words: list[str], scores: np.ndarray, letters: np.ndarray) -> None:
+        start, end = len(self.known), len(self.known) + len(words)
+        if end > len(self.scores):
+            grown = max(end, 2 * len(self.scores), 1024)
+            self.scores, self.letters = (np.concatenate([x, np.zeros((grown - len(x), *x.shape[1:]), x.dtype)]) for x in (self.scores, self.letters))
+        self.scores[start:end], self.letters[start:end] = scores, letters
+        self.known.update(zip(words, range(start, end)))
+
+    def learn(self, words: set[str]) -> None:
+        """Makes all these words known. Scores of a batch's new words are computed together; what is known is kept in two
+        generations of bounded size, and words of the older one that are met again come back."""
+        if len(self.known) > KNOWN:
+            older = self.known, self.scores, self.letters
+            self.clear()
+            self.older = older
+        new = list(words.difference(self.known))
+        names, scores, letters = self.older
+        if again := [w for w in new if w in names]:
+            rows = np.fromiter(map(names.__getitem__, again), np.int64, len(again))
+            self.remember(again, scores[rows], letters[rows])
+            new = [w for w in new if w not in names]
         k = len(self.langs)
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             cut = [pieces(w) for w in part]
             flat = [p for ps in cut for p in ps]
             total = np.zeros((len(part), k))
+            counts = np.fromiter((sum(map(len, ps)) for ps in cut), np.int64, len(part))
             if flat:
-                sizes = np.array([len(p) for p in flat])
-                owner = np.repeat(np.arange(len(part)), [len(ps) for ps in cut])
+                sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+                owner = np.repeat(np.arange(len(part)), np.fromiter(map(len, cut), np.int64, len(cut)))
                 buckets, of = features(flat)
                 many = np.maximum(np.bincount(of, minlength=len(flat)), 1)
                 likely = np.stack([np.bincount(of, self.table[buckets, n], len(flat)) for n in range(k)], axis=1)
@@ -127,22 +144,16 @@ class Model:
                 likely -= likely.max(axis=1, keepdims=True)
                 total = np.stack([np.bincount(owner, likely[:, n], len(part)) for n in range(k)], axis=1)
                 total -= total.max(axis=1, keepdims=True)
-            packed = total.astype(np.float32).tobytes()
-            for i, (w, ps) in enumerate(zip(part, cut)):
-                table[w] = self.known[w] = (packed[4 * k * i : 4 * k * (i + 1)], sum(map(len, ps)))
-        if len(self.known) > KNOWN:
-            self.known, self.older = {}, self.known
-        return table
+            self.remember(part, total.astype(np.float32), counts)
 
     def label(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         """Each text's words' languages by Viterbi, their letters, and the posterior of that language for each word."""
         words = [x.split() for x in texts]
         sizes = np.array([len(w) for w in words], np.int64)
-        table = self.learn(set().union(*words))
-        got = [table[w] for ws in words for w in ws]
+        self.learn(set().union(*words))
         k = len(self.langs)
-        scores = np.frombuffer(b"".join(g[0] for g in got), np.float32).reshape(-1, k)
-        letters = np.fromiter((g[1] for g in got), np.int64, len(got))
+        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        scores, letters = self.scores[rows], self.letters[rows]
         # lanes, longest first, advance one word a step; at each step only those that still have words are active
         order = np.argsort(-sizes, kind="stable")
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[order] if len(sizes) else np.zeros(0, np.int64)
