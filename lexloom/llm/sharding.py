@@ -57,16 +57,16 @@ def shard(docs: DataFrame, n_shards: int, law: str = "rows", slack: float = SLAC
     home = F.broadcast(homes(nodes, cells))
     # at most CELLS rows; all of the ring's arithmetic starts from them, not from the documents
     loads = cut(keys.groupBy("cell").agg(F.sum("load").alias("load")).join(home, "cell").coalesce(1))
-    total = loads.agg(F.sum("load").alias("total"))
+    total = F.lit(loads.agg(F.sum("load").alias("total")).first()["total"] or 0).cast("long")
     in_shard = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
     # of each cell: what stays, and what overflows
     each, more = F.floor(F.col("total") / n_shards), F.col("total") % n_shards
     capacity = each + (F.col("shard") < more).cast("int") if law == "rows" else F.ceil(F.col("total") * F.lit((1 + slack) / n_shards))
-    kept = loads.crossJoin(F.broadcast(total)).withColumn("capacity", capacity).withColumn("upto", F.sum("load").over(in_shard))
+    kept = loads.withColumn("total", total).withColumn("capacity", capacity).withColumn("upto", F.sum("load").over(in_shard))
     kept = kept.withColumn("stay", F.greatest(F.lit(0), F.least("load", F.col("capacity") - F.col("upto") + F.col("load"))))
     flow = cut(kept.withColumn("over", F.col("load") - F.col("stay")).coalesce(1))
     by_shard = flow.groupBy("shard").agg(F.sum("stay").alias("held"))
-    room = nodes.join(by_shard, "shard", "left").crossJoin(F.broadcast(total)).withColumn("capacity", capacity)
+    room = nodes.join(by_shard, "shard", "left").withColumn("total", total).withColumn("capacity", capacity)
     rank = F.row_number().over(W.partitionBy("shard").orderBy("node"))
     free = F.col("capacity") - F.coalesce(F.col("held"), F.lit(0))
     room = room.withColumn("room", F.floor(free * rank / vnodes) - F.floor(free * (rank - 1) / vnodes)).select("node", "shard", "room")
