@@ -30,7 +30,7 @@ from .runtime import ship, task
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 128
 NONE = np.int32(2**31 - 1)
-KNOWN = 120_000
+KNOWN = 250_000
 
 
 def byte_alphabet() -> dict[int, str]:
