@@ -136,10 +136,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
 def without_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col="doc_id", text_col="text", trees: int = TREES, small: int = SMALL) -> DataFrame:
     """The rows of docs that are kept; of rows with equal id and text, one. The join and the choice of one share a key,
     so the texts move only once."""
-    kept = cut(_decided(docs, percent, shingle, id_col, text_col, trees, small).where("kept").select(F.col("row_key").alias("__row_key")).distinct())
+    kept = cut(_decided(docs, percent, shingle, id_col, text_col, trees, small).where("kept").select("row_key").distinct())
     release(docs.sparkSession)
-    rows = sift(docs.withColumn("__row_key", row_key(id_col, text_col)), "__row_key", kept).dropDuplicates(["__row_key"])
-    return rows.join(kept, "__row_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("row_key"))
+    rows = sift(rows, "row_key", kept).dropDuplicates(["row_key"]).join(kept, "row_key", "left_semi")
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _decided(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str, trees: int, small: int) -> DataFrame:

@@ -6,7 +6,7 @@ EDGE = [
     (2, None, "en", "a", None), (3, "", None, None, 0), (4, " \n\t ", "fr", "b", 4), (5, "12 34 !", "fr", "b", 7), (6, "le chat est sur la table et le chien est dans la rue", "fr", "b", 9),
     (None, "no id here at all but some text of its own", "en", "c", 1), (7, "word " * 30_000, "en", None, 1), (8, "x", "en", "a", 1), (9, "the cat sat on the mat and the dog ran off into the dark wood", None, "c", 5),
 ]
-CLASH = ("size", "key", "row", "raw", "label", "n", "s", "h", "bucket", "at", "tie", "text_crc32", "score", "lang_pred", "taken", "shard")
+CLASH = ("size", "key", "row", "raw", "label", "n", "s", "h", "bucket", "at", "tie", "text_crc32", "score", "lang_pred", "taken", "shard", "__at", "__row_key", "row_key", "may", "whole", "spans")
 
 
 @pytest.fixture(scope="session")
