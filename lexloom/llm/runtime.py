@@ -130,11 +130,3 @@ class WordCache(dict):
             self.clear()
         self[word] = value
         return value
-
-
-def text_batches(batches, columns: tuple[str, ...], rows: int = 512):
-    """Small tuples of Python lists from Arrow batches, so that only a few texts are Python objects at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            part = batch.slice(start, rows)
-            yield tuple(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .runtime import cut, ship, task
 
-SHARD, MAX_SHARD, LEAF = 8192, 1 << 17, 48
+SHARD, MAX_SHARD, LEAF = 8192, 1 << 17, 192
 #: Shares of the shards that have been searched after each wave.
 WAVES = (1 / 32, 1 / 4, 1.0)
 EXACT = float(2**53)

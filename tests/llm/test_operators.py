@@ -270,6 +270,25 @@ def test_repeats_match_brute_force(spark, empty):
     assert repeats.removal(empty).count() == 0
 
 
+def test_texts_without_repeats(spark):
+    """The texts themselves, by a shorter length; a character that is cut goes whole, copies become empty."""
+    rng = random.Random(6)
+    passages = ["".join(rng.choice("abcé 日") for _ in range(rng.randint(60, 200))) for _ in range(5)]
+    texts = ["".join(rng.choice([rng.choice(passages), "".join(rng.choice("xyz ") for _ in range(rng.randint(1, 60)))]) for _ in range(rng.randint(0, 4))) for _ in range(60)] + [passages[0]] * 2 + ["", None]
+    seen = Counter(b[j : j + 90] for t in texts for b in [(t or "").encode()] for j in range(len(b) - 89))
+    want = Counter()
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        flags = np.ones(len(raw), bool)
+        for j in range(len(raw) - 89):
+            if seen[raw[j : j + 90]] > 1:
+                flags[j : j + 90] = False
+        want[i, None if t is None else np.frombuffer(raw, np.uint8)[flags].tobytes().decode("utf-8", "ignore")] += 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit("mine"))
+    out = repeats.without_repeats(df, 90)
+    assert out.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+
+
 def test_repeats_query_matches_brute_force(spark, docs):
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(map(tuple, queries.op7_repeats(spark, SF).collect())) == sorted(brute_removal(texts))
@@ -295,6 +314,20 @@ def test_topk_edges(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_ball_tree_search_is_exact():
+    """Several levels of nodes, crowded and equal vectors, with and without a score to start from."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(-300, 300, (2000, 6)), np.repeat(rng.integers(-300, 300, (3, 6)), 300, axis=0)])
+    ids, many = np.arange(len(x)), np.ones(len(x), np.int32)
+    tree = topk.Shard(ids, x, many)
+    assert len(tree.nodes) > 10
+    for q in (0, 7, 1999, 2000, 2700):
+        scores = x @ x[q]
+        want = sorted((-int(s), int(i)) for i, s in zip(ids, scores) if i != q)[:10]
+        for kth in (-np.inf, -want[9][0]):
+            assert [(s, i) for s, i, _ in tree.search(q, x[q], 10, kth)][:10] == want
+
+
 def test_topk_waves_pass_the_kth_score_on(spark):
     """The search of later shards starts from the kth score of the first ones, and so returns less."""
     rng = np.random.default_rng(7)
