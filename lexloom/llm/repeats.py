@@ -15,7 +15,9 @@ are judged on the input. Three steps lead to suffix arrays of bounded parts that
    prefix with a neighbour in the array, in bytes, is at least LENGTH.
 
 A core's group holds as many distinct pieces as there are ways to go on within STEP bytes on either side of it, whatever
-the number of texts that share it. Texts with exact copies are one text with a count. Only texts with a repeated anchor
+the number of texts that share it. A passage that very many texts share, each in its own surroundings, has as many ways;
+where a core has more than CROWD pieces, their windows are dealt one by one, by core, place and hash, and counted instead,
+so no group gathers in a task. Texts with exact copies are one text with a count. Only texts with a repeated anchor
 move; filters of fixed size find them, and letting more through changes no result.
 
 A passage is also told by its words (without_passages): the same search runs over a view of the texts in which every
@@ -40,7 +42,7 @@ from .neardup import by_group
 from .runtime import bits_of, cut, release, set_at, ship, sift, spot_of, task, WordCache
 from .suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAM, STEP, CHUNK, ANCHOR_BITS = 400, 64, 96, 1 << 19, 1 << 25
+LENGTH, GRAM, STEP, CHUNK, ANCHOR_BITS, CROWD = 400, 64, 96, 1 << 19, 1 << 25, 1000
 PLACE = np.uint64((1 << 20) - 1)
 #: Repeats of more than WORDS words are passages; a word is CODE bytes of its hash.
 WORDS, CODE = 50, 6
@@ -269,9 +271,9 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, view=_as_is, least: int
     release(spark)
     # a core with one piece only: all its windows are repeated; the others' pieces meet in suffix arrays
     whole = pieces.where("kinds = 1").select("core", "piece", F.array(F.struct(F.lit(0).alias("a"), (F.col("one.hi") - F.col("one.lo")).alias("b"))).alias("starts"))
-    asked = cut(pieces.where("kinds > 1").groupBy("one.key").agg(F.collect_list(F.struct("core", "piece", "n", "one.lo", "one.hi", "one.at")).alias("asked")))
+    of_text = lambda rows: cut(rows.groupBy("one.key").agg(F.collect_list(F.struct("core", "piece", "n", "one.lo", "one.hi", "one.at")).alias("asked")))
+    asked = of_text(pieces.where((F.col("kinds") > 1) & (F.col("kinds") <= CROWD)))
 
-    @task
     def fetch(batches):
         seen = view()
         for batch in batches:
@@ -282,6 +284,15 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, view=_as_is, least: int
                     pa.array([p["at"] - p["lo"] for p in asked_], pa.int32()), pa.array([x[p["lo"] : p["hi"] + length] for p in asked_], pa.binary()),
                 ], names=["core", "piece", "n", "place", "bytes"])
 
+    @task
+    def windows(batches):
+        seen = view()
+        for batch in batches:
+            for raw, asked_ in zip(batch.column(0), batch.column(1)):
+                x = seen(raw.as_py())
+                rows = [(p["core"], s - p["at"], xxhash.xxh3_128_digest(x[s : s + length]), p["piece"], s - p["lo"], p["n"]) for p in asked_.as_py() for s in range(p["lo"], p["hi"] + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64()))], names=["core", "off", "window", "piece", "start", "n"])
+
     @task
     def sort(batches):
         for group in by_group(batches, "core"):
@@ -293,6 +304,13 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, view=_as_is, least: int
     fetched = _once(long_, asked).select("raw", "asked").mapInArrow(fetch, "core long, piece binary, n long, place int, bytes binary")
     sorted_ = fetched.repartition("core").sortWithinPartitions("core", "piece").mapInArrow(sort, "core long, piece binary, starts array<struct<a:int,b:int>>")
     starts = whole.unionByName(sorted_.where(F.size("starts") > 0))
+    crowded = pieces.where(F.col("kinds") > CROWD)
+    if crowded.take(1):
+        crowd = of_text(crowded)
+        every = cut(_once(long_, crowd).select("raw", "asked").mapInArrow(windows, "core long, off int, window binary, piece binary, start int, n long"))
+        twice = cut(every.groupBy("core", "off", "window").agg(F.sum("n").alias("all")).where("`all` > 1").select("core", "off", "window"))
+        found = every.join(twice, ["core", "off", "window"]).groupBy("core", "piece").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("start").alias("b"))).alias("starts"))
+        starts = starts.unionByName(found)
     marks = held.select("core", "piece", "key", "lo").join(starts, ["core", "piece"]).select("key", F.explode(F.transform("starts", lambda x: F.struct((F.col("lo") + x["a"]).alias("a"), (F.col("lo") + x["b"] + length).alias("b")))).alias("span"))
     spans = marks.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     found = cut(copies.withColumn("whole", F.lit(True)).join(spans, "key", "full").select("key", F.coalesce("whole", F.lit(False)).alias("whole"), "spans"))

@@ -260,7 +260,10 @@ def brute_removal(texts, length=400):
         yield i, len(b), int(flags.sum()), len(repeats.runs(flags)), hashlib.sha256(np.frombuffer(b, np.uint8)[~flags].tobytes()).hexdigest()
 
 
-def test_repeats_match_brute_force(spark, empty):
+@pytest.mark.parametrize("crowd", [1000, 2])
+def test_repeats_match_brute_force(spark, empty, monkeypatch, crowd):
+    """With crowd=2 most cores have their windows dealt one by one."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rng = random.Random(5)
     passages = ["".join(rng.choice("abc é") for _ in range(rng.randint(300, 900))) for _ in range(8)]
     make = [lambda: rng.choice(passages), lambda: passages[0][rng.randint(0, 200) :][: rng.randint(350, 600)], lambda: "".join(rng.choice("xyz ") for _ in range(rng.randint(1, 300))), lambda: "ab" * rng.randint(1, 300), lambda: "a" * rng.randint(1, 500)]
