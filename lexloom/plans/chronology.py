@@ -23,7 +23,7 @@ def orders(spark, d):
     o = table(spark, d, "orders")
     year, month = F.year("o_orderdate"), F.month("o_orderdate")
     no = month * 3 - 2 + F.least(F.lit(2), F.floor((F.dayofmonth("o_orderdate") - 1) / 10))
-    return o.select("o_orderkey", "o_custkey", F.format_string("gazette_%d.pdf", no.cast("int")).alias("filename"), F.format_string("%d-%d-%d", year, month, F.dayofmonth("o_orderdate")).alias("slv_identifier"), year.alias("year"))
+    return o.select("o_orderkey", "o_custkey", F.format_string("issue_%d.pdf", no.cast("int")).alias("filename"), F.format_string("%d-%d-%d", year, month, F.dayofmonth("o_orderdate")).alias("slv_identifier"), year.alias("year"))
 
 
 def issues(spark, d):
