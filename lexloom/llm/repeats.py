@@ -42,7 +42,9 @@ from .neardup import by_group
 from .runtime import bits_of, cut, release, set_at, ship, sift, spot_of, task, WordCache
 from .suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAM, STEP, CHUNK, ANCHOR_BITS, CROWD = 400, 64, 96, 1 << 19, 1 << 25, 1000
+LENGTH, GRAM, STEP, CHUNK, ANCHOR_BITS = 400, 64, 96, 1 << 19, 1 << 25
+#: Pieces that a task sorts at most: 5,000 with shared surroundings were measured at 390 MB.
+CROWD = 2000
 PLACE = np.uint64((1 << 20) - 1)
 #: Repeats of more than WORDS words are passages; a word is CODE bytes of its hash.
 WORDS, CODE = 50, 6
@@ -307,9 +309,13 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, view=_as_is, least: int
     crowded = pieces.where(F.col("kinds") > CROWD)
     if crowded.take(1):
         crowd = of_text(crowded)
-        every = cut(_once(long_, crowd).select("raw", "asked").mapInArrow(windows, "core long, off int, window binary, piece binary, start int, n long"))
+        # twice made rather than stored: a piece has up to STEP windows
+        every = _once(long_, crowd).select("raw", "asked").mapInArrow(windows, "core long, off int, window binary, piece binary, start int, n long")
         twice = cut(every.groupBy("core", "off", "window").agg(F.sum("n").alias("all")).where("`all` > 1").select("core", "off", "window"))
-        found = every.join(twice, ["core", "off", "window"]).groupBy("core", "piece").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("start").alias("b"))).alias("starts"))
+        # a piece's starts lie within STEP, so its windows overlap where they are longer: one span covers them
+        first, last = F.min("start").alias("a"), F.max("start").alias("b")
+        spans = F.array(F.struct(first, last)) if length >= STEP else F.collect_list(F.struct(F.col("start").alias("a"), F.col("start").alias("b")))
+        found = every.join(twice, ["core", "off", "window"]).groupBy("core", "piece").agg(spans.alias("starts"))
         starts = starts.unionByName(found)
     marks = held.select("core", "piece", "key", "lo").join(starts, ["core", "piece"]).select("key", F.explode(F.transform("starts", lambda x: F.struct((F.col("lo") + x["a"]).alias("a"), (F.col("lo") + x["b"] + length).alias("b")))).alias("span"))
     spans = marks.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
