@@ -7,8 +7,9 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 PERMUTATIONS = 128
 PRIME_31 = 4294967311
@@ -71,27 +72,146 @@ def _sha_coefficients() -> np.ndarray:
     return _SHA_COEFFICIENTS[0]
 
 
+_BUFFERS: list[np.ndarray] = []
+
+
+def _sha_minima(h: np.ndarray) -> np.ndarray:
+    """The low 32 bits of (a h + b) mod 2^61 - 1, their minima for each of the 128 (a, b). With x = a h + b + 1 they are
+    x + (x >> 61) - 1, but for the few x whose fold passes the prime; those show as at most 8, and then all is done plainly."""
+    a, b = (v[:, None] for v in _sha_coefficients())
+    low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
+    if not _BUFFERS:
+        _BUFFERS.extend(np.empty((PERMUTATIONS, 448), t) for t in (np.uint64, np.uint64, np.uint32))
+    x, top, part = _BUFFERS
+    for start in range(0, len(h), 448):
+        some = h[start : start + 448]
+        n = len(some)
+        np.multiply(a, some, out=x[:, :n])
+        np.add(x[:, :n], b + np.uint64(1), out=x[:, :n])
+        np.right_shift(x[:, :n], np.uint64(61), out=top[:, :n])
+        np.add(x[:, :n], top[:, :n], out=top[:, :n])
+        np.copyto(part[:, :n], top[:, :n], casting="unsafe")
+        np.minimum(low, part[:, :n].min(axis=1), out=low)
+    if low.min() > 8:
+        return low - np.uint32(1)
+    low[:] = 0xFFFFFFFF
+    for start in range(0, len(h), 2048):
+        x = a * h[start : start + 2048] + b
+        x = (x & MERSENNE) + (x >> np.uint64(61))
+        x = np.where(x >= MERSENNE, x - MERSENNE, x)
+        low = np.minimum(low, (x & np.uint64(0xFFFFFFFF)).min(axis=1).astype(np.uint32))
+    return low
+
+
+def _sha_hash(gram: str) -> int:
+    return int.from_bytes(hashlib.sha1(gram.encode()).digest()[:4], "little")
+
+
+class _Grams:
+    """Hashes of 5-grams, each made once while it is known: a gram is five letters of 12 bits, the letters are numbered as
+    they come. Full alphabets and full stores begin anew, so both are bounded."""
+
+    LETTERS, STORE, CHUNK = 1 << 12, 1 << 20, 1 << 16
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.number, self.letters = np.full(0x110000, -1, np.int32), np.empty(0, np.uint32)
+        self.codes, self.hashes = np.empty(0, np.uint64), np.empty(0, np.uint64)
+
+    def numbered(self, points: np.ndarray) -> np.ndarray | None:
+        """The distinct codes of the grams of these code points, None where the alphabet has no room for them."""
+        ids = self.number[points]
+        if ids.min() < 0:
+            new = np.unique(points[ids < 0])
+            if len(self.letters) + len(new) > self.LETTERS:
+                return None
+            self.number[new] = np.arange(len(self.letters), len(self.letters) + len(new))
+            self.letters = np.concatenate([self.letters, new])
+            ids = self.number[points]
+        ids, n = ids.astype(np.uint64), len(points) - 4
+        code = ids[:n].copy()
+        for i in range(1, 5):
+            code = (code << np.uint64(12)) | ids[i : i + n]
+        return _distinct(code)
+
+    def hashed(self, codes: np.ndarray) -> np.ndarray:
+        """The hashes of codes that are distinct and in order."""
+        at = np.searchsorted(self.codes, codes)
+        new = np.ones(len(codes), bool)
+        inside = at < len(self.codes)
+        new[inside] = self.codes[at[inside]] != codes[inside]
+        out = np.empty(len(codes), np.uint64)
+        out[~new] = self.hashes[at[~new]]
+        if new.any():
+            fresh = codes[new]
+            ids = (fresh[:, None] >> np.array([48, 36, 24, 12, 0], np.uint64)) & np.uint64(self.LETTERS - 1)
+            text = self.letters[ids.astype(np.int64)].astype("<u4").tobytes().decode("utf-32-le")
+            out[new] = np.array([_sha_hash(text[i : i + 5]) for i in range(0, len(text), 5)], np.uint64)
+            if len(self.codes) + len(fresh) > self.STORE:
+                self.codes, self.hashes = codes, out
+            else:
+                self.codes, self.hashes = np.insert(self.codes, at[new], fresh), np.insert(self.hashes, at[new], out[new])
+        return out
+
+    def signatures(self, texts: list[str]) -> list[np.ndarray | None]:
+        found: list = [None] * len(texts)
+        waiting, held = [], 0
+
+        def put(row, low):
+            found[row] = low if found[row] is None else np.minimum(found[row], low)
+
+        def settle():
+            if waiting:
+                every = _distinct(np.concatenate([c for _, c in waiting]))
+                hashes = self.hashed(every)
+                for row, codes in waiting:
+                    put(row, _sha_minima(hashes[np.searchsorted(every, codes)]))
+                waiting.clear()
+
+        for row, text in enumerate(texts):
+            if 0 < len(text) < 5:
+                put(row, _sha_minima(np.array([_sha_hash(text)], np.uint64)))
+            for start in range(0, len(text) - 4, self.CHUNK):
+                piece = text[start : start + self.CHUNK + 4]
+                points = np.frombuffer(piece.encode("utf-32-le"), "<u4")
+                codes = self.numbered(points)
+                if codes is None:
+                    settle()
+                    self.clear()
+                    held, codes = 0, self.numbered(points)
+                if codes is None:  # more than 4,096 different letters in one piece
+                    put(row, _sha_minima(np.array([_sha_hash(g) for g in set(_grams(piece))], np.uint64)))
+                    continue
+                waiting.append((row, codes))
+                held += len(codes)
+                if held > 4 * self.CHUNK:
+                    settle()
+                    held = 0
+        settle()
+        return found
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+_GRAMS: list[_Grams] = []
+
+
+def _sha_signatures(texts: list[str]) -> list[np.ndarray | None]:
+    """By the store of this worker."""
+    if not _GRAMS:
+        _GRAMS.append(_Grams())
+    return _GRAMS[0].signatures(texts)
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def minhash_sha(texts: pd.Series) -> pd.Series:
-    """128 minima over the first four SHA-1 bytes of each shingle, permuted modulo the Mersenne prime 2^61 - 1. Texts of one
-    batch share most shingles, so each distinct one is hashed once."""
-    a, b = _sha_coefficients()
-    grams = [set(_grams(x or "")) for x in texts]
-    known = {g: int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in set().union(*grams)} if grams else {}
-
-    def one(found):
-        h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-        if not len(h):
-            return None
-        low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint64)
-        for start in range(0, len(h), 2048):
-            x = a[:, None] * h[start : start + 2048] + b[:, None]
-            x = (x & MERSENNE) + (x >> np.uint64(61))  # modulo 2^61 - 1, without dividing
-            x = np.where(x >= MERSENNE, x - MERSENNE, x)
-            low = np.minimum(low, (x & np.uint64(0xFFFFFFFF)).min(axis=1))
-        return low.astype(np.int64)
-
-    return pd.Series([one(g) for g in grams], dtype=object)
+    """128 minima over the first four SHA-1 bytes of each shingle, permuted modulo the Mersenne prime 2^61 - 1."""
+    return pd.Series([x if x is None else x.astype(np.int64) for x in _sha_signatures([x or "" for x in texts])], dtype=object)
 
 
 def bands(signature: Column, number: int = 16) -> Column:
@@ -109,14 +229,77 @@ def _met(probes: DataFrame, train: DataFrame, number: int) -> DataFrame:
     return banded(probes, "p").join(banded(train, "t"), "band").groupBy("p", "t").agg(F.count(F.lit(1)).alias("bands"))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """df, computed now and only once: in the checkpoint folder if the session has one, else on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
+
+
+#: Train signatures of a band that one task compares with the band's probes, about.
+BLOCK = 4096
+
+
+def _best_of_blocks(placed: DataFrame, key_type) -> DataFrame:
+    """(c, score, t) from (c, t, sig, band, part, probe): each probe class against the train classes of its band and part."""
+
+    def run(batches):
+        at, ts, sigs = None, [], []
+        for batch in batches:
+            c, t, sig = batch.column(0), batch.column(1), batch.column(2)
+            values = sig.flatten().to_numpy().reshape(-1, PERMUTATIONS)
+            band, part, probe = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
+            if not len(band):
+                continue
+            turns = np.flatnonzero((band[1:] != band[:-1]) | (part[1:] != part[:-1]) | (probe[1:] != probe[:-1])) + 1
+            of, scores, keys = [], [], []
+            for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), len(band)]):
+                if at != (band[lo], part[lo]):
+                    at, ts, sigs = (band[lo], part[lo]), [], []
+                if not probe[lo]:
+                    ts.append(t.slice(lo, hi - lo))
+                    sigs.append(values[lo:hi])
+                    continue
+                if not ts:
+                    continue
+                if len(ts) > 1:
+                    ts, sigs = [pa.concat_arrays(ts)], [np.concatenate(sigs)]
+                places = []
+                for row in values[lo:hi]:
+                    equal = (sigs[0] == row).sum(axis=1)
+                    places.append(len(equal) - 1 - int(equal[::-1].argmax()))  # the last of the best: the larger key
+                    scores.append(equal[places[-1]] / PERMUTATIONS)
+                of.append(c.slice(lo, hi - lo))
+                keys.append(ts[0].take(pa.array(places)))
+            if of:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(of), pa.array(scores, pa.float64()), pa.concat_arrays(keys)], ["c", "score", "t"])
+
+    schema = StructType([placed.schema["c"], StructField("score", DoubleType()), StructField("t", key_type)])
+    return placed.select("c", "t", "sig", "band", "part", "probe").repartition("band", "part").sortWithinPartitions("band", "part", "probe", "t").mapInArrow(run, schema)
+
+
 def best_match(train: DataFrame, probes: DataFrame, key: str, text: str, number: int = 8, family=minhash_sha) -> DataFrame:
     """For each probe, the train row of the highest estimated Jaccard among band collisions (ties: the larger key).
-    Columns: key, match_key, max_jaccard (0 without a candidate). Equal train texts are one candidate."""
-    t = train.groupBy(F.col(text).alias("t_text")).agg(F.max(key).alias("t")).select("t", family("t_text").alias("t_sig"))
-    p = probes.select(F.col(key).alias("p"), family(F.col(text)).alias("p_sig"))
-    scored = _met(p, t, number).join(p, "p").join(t, "t").select("p", F.struct(estimated_jaccard(F.col("p_sig"), F.col("t_sig")).alias("score"), "t").alias("m"))
-    best = scored.groupBy("p").agg(F.max("m").alias("m"))
-    return p.select("p").join(best, "p", "left").select(F.col("p").alias(key), F.col("m.t").alias("match_key"), F.coalesce("m.score", F.lit(0.0)).alias("max_jaccard"))
+    Columns: key, match_key, max_jaccard (0 without a candidate). A text without shingles has no candidate.
+
+    Signatures are made once. Rows of equal signatures are one class, which a train row in it settles. The other probe classes
+    meet the train classes of their bands in blocks that make one row a probe, not one a pair.
+    """
+    side = lambda df, is_train: df.select(F.col(key).alias("k"), F.lit(is_train).alias("train"), family(F.col(text)).alias("sig"))
+    c = F.when(F.col("sig").isNotNull(), F.concat_ws(" ", F.xxhash64("sig"), F.xxhash64(F.lit(1), F.col("sig"))))
+    rows = _once(side(train, True).unionByName(side(probes, False)).withColumn("c", c))
+    grouped = rows.where(F.col("c").isNotNull()).groupBy("c")
+    role = F.max(F.when(F.col("train"), F.col("k"))).alias("t"), F.max(~F.col("train")).alias("probe")
+    classes = grouped.agg(*role, F.first("sig").alias("sig"))
+    banded = classes.select("c", F.col("t").isNull().alias("probe"), F.explode(bands(F.col("sig"), number)).alias("band"))
+    met = banded.groupBy("band").agg(F.count_if(~F.col("probe")).alias("trains"), F.count(F.lit(1)).alias("all")).where("trains > 0 and trains < all")
+    met = met.select("band", F.ceil(F.col("trains") / BLOCK).cast("int").alias("parts"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    part = F.when(F.col("probe"), every).otherwise(F.array(F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")))
+    placed = banded.join(met, "band").select("c", "probe", "band", F.explode(part).alias("part")).join(classes.select("c", "t", "sig"), "c")
+    best = F.struct("score", "t").alias("m")
+    searched = _best_of_blocks(placed, rows.schema["k"].dataType).groupBy("c").agg(F.max(best).alias("m"))
+    settled = grouped.agg(*role).where(F.col("probe") & F.col("t").isNotNull()).select("c", F.struct(F.lit(1.0).alias("score"), "t").alias("m"))
+    out = rows.where(~F.col("train")).select("k", "c").join(settled.unionByName(searched), "c", "left")
+    return out.select(F.col("k").alias(key), F.col("m.t").alias("match_key"), F.coalesce("m.score", F.lit(0.0)).alias("max_jaccard"))
 
 
 def near_matches(train: DataFrame, probes: DataFrame, key: str, text: str, threshold: float = 0.8, most: int | None = None) -> DataFrame:
@@ -147,19 +330,26 @@ def best_side_key(first_score: Column, second_score: Column, first_key: Column,
     return F.when(first_score.isNull() & second_score.isNull(), None).when(a >= b, first_key).otherwise(second_key)
 
 
+#: Keys up to which a list of them is sent to all executors, so that the rows with texts stay where they are.
+FEW = 200_000
+
+
 def near_duplicate_report(df: DataFrame, key: str, split: str, sides: tuple[str, str], threshold: float = 0.85, number: int = 8, family=minhash_sha) -> DataFrame:
     """Of every pair that is not in train and whose first or second text (sides) nearly repeats one in train: the row, side
-    (which), near_dup_max_jaccard, the key of the train pair behind the higher score, and its texts."""
+    (which), near_dup_max_jaccard, the key of the train pair behind the higher score, and its texts. Keys decide; texts are
+    read again for the pairs found and their matches alone."""
     train, held = df.where(F.col(split) == "train"), df.where(F.col(split) != "train")
-    out = held
-    for s in sides:
-        found = best_match(train, held, key, s, number, family)
-        out = out.join(found.select(F.col(key).alias("__k"), F.col("match_key").alias(f"__m_{s}"), F.col("max_jaccard").alias(f"__j_{s}")), out[key] == F.col("__k")).drop("__k")
-    (a, b), m = (F.col(f"__j_{s}") for s in sides), [F.col(f"__m_{s}") for s in sides]
-    hits = [F.col(f"__j_{s}") >= threshold for s in sides]
-    out = out.where(hits[0] | hits[1]).withColumns({"side": side_label(*hits, names=sides), "near_dup_max_jaccard": F.greatest(a, b), "train_match": best_side_key(a, b, *m)})
-    texts = train.select(F.col(key).alias("__t"), *[F.col(s).alias(f"train_match_{s}") for s in sides])
-    return out.join(texts, F.col("train_match") == F.col("__t"), "left").drop("__t", *[f"__{x}_{s}" for x in "mj" for s in sides])
+    first, second = (best_match(train, held, key, s, number, family).toDF("__k", f"__m{i}", f"__j{i}") for i, s in enumerate(sides))
+    hits = [F.col(f"__j{i}") >= threshold for i in range(2)]
+    found = _once(
+        first.join(second, "__k").where(hits[0] | hits[1])
+        .select("__k", side_label(*hits, names=sides).alias("side"), F.greatest("__j0", "__j1").alias("near_dup_max_jaccard"), best_side_key(F.col("__j0"), F.col("__j1"), F.col("__m0"), F.col("__m1")).alias("train_match"))
+    )
+    sent = F.broadcast if found.count() <= FEW else lambda x: x
+    out = held.join(sent(found), held[key] == F.col("__k")).drop("__k")
+    matches = found.select(F.col("train_match").alias("__m")).distinct()
+    texts = train.join(sent(matches), train[key] == F.col("__m"), "left_semi").select(F.col(key).alias("__t"), *[F.col(s).alias(f"train_match_{s}") for s in sides])
+    return out.join(texts, F.col("train_match") == F.col("__t"), "left").drop("__t")
 
 
 def partner_cosines(rows: DataFrame, key: str, vector: str, partners: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import statistics
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +238,68 @@ def test_minhash_families_against_plain_loops(spark):
         assert r["y"] == ([min((p * h + q) % 2**64 % ((1 << 61) - 1) & 0xFFFFFFFF for h in sha) for p, q in ab] if sha else None)
 
 
+def test_sha_minima_of_many_letters_and_long_texts(monkeypatch):
+    """Stores and alphabets that overflow, pieces of long texts and the rare plain path give the signatures of the formula."""
+    import hashlib
+
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = ["", "abc", "".join(map(chr, range(0x4E00, 0x4E00 + 5000))), "".join(rng.choice("abcdefgh") for _ in range(9000)), "😀é" * 40, "".join(chr(rng.randint(32, 900)) for _ in range(3000))]
+    ab = np.random.RandomState(1)
+    ab = [(int(ab.randint(1, (1 << 61) - 1, dtype=np.uint64)), int(ab.randint(0, (1 << 61) - 1, dtype=np.uint64))) for _ in range(128)]
+    plain = lambda hs: [min((p * h + q) % 2**64 % ((1 << 61) - 1) & 0xFFFFFFFF for h in hs) for p, q in ab]
+    sha = lambda t: {int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in grams(t)}
+    for name, size in (("STORE", 500), ("LETTERS", 1024), ("CHUNK", 700)):
+        monkeypatch.setattr(S._Grams, name, size)
+    for t, got in zip(texts, S._Grams().signatures(texts)):
+        assert (got is None) if not t else got.tolist() == plain(sha(t))
+    h = [rng.randrange(1 << 32) for _ in range(1000)]
+    monkeypatch.setattr(S, "_SHA_COEFFICIENTS", [np.array([[0, 1, 0, 0] + [7] * 124, [(1 << 61) - 1, (1 << 61) - 1 - h[0], (1 << 61) - 2, (1 << 64) - 1] + [5] * 124], np.uint64)])
+    ab = list(zip(*map(np.ndarray.tolist, S._sha_coefficients())))
+    assert S._sha_minima(np.array(h, np.uint64)).tolist() == plain(h)
+
+
+def test_best_match_against_all_collisions(spark):
+    """Equal to scoring every pair that collides in a band, with copies, groups of near copies, ties and texts without grams."""
+    import numpy as np
+
+    rng = random.Random(10)
+    base = "".join(rng.choices("abcdefghij ", k=400))
+    near = lambda: "".join(rng.choice("xyz") if rng.random() < 0.004 else c for c in base)
+    texts = [near() for _ in range(160)] + [base] * 20 + near_texts(4, 100) + ["", None] * 4
+    rng.shuffle(texts)
+    rows = [(f"k{i:03}", t, i % 3 > 0) for i, t in enumerate(texts)]
+    df = frame(spark, rows, "k string, t string, train boolean")
+    sig = {k: s for (k, t, _), s in zip(rows, S._Grams().signatures([t or "" for t in texts]))}
+    want = {}
+    for k, t, train in rows:
+        if not train:
+            met = [(float((sig[k] == sig[o]).sum()) / 128, o) for o, _, ok in rows if ok and sig[k] is not None and sig[o] is not None and (sig[k] == sig[o]).reshape(8, 16).all(axis=1).any()]
+            want[k] = max(met) if met else (0.0, None)
+    held, S.BLOCK = S.BLOCK, 16  # so that large bands are dealt to many parts
+    try:
+        got = {r["k"]: (r["max_jaccard"], r["match_key"]) for r in S.best_match(df.where("train"), df.where("not train"), "k", "t").collect()}
+    finally:
+        S.BLOCK = held
+    assert got == want and sum(s == 1.0 for s, _ in want.values()) > 3 < sum(0 < s < 1 for s, _ in want.values())
+
+
+def test_best_match_makes_signatures_once(spark):
+    """The family's function sees each row once, and no join makes a row for each pair of a group of near copies."""
+    from pyspark.sql.types import ArrayType, LongType
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def counted(texts: pd.Series) -> pd.Series:
+        seen.add(len(texts))
+        return pd.Series([x if x is None else x.tolist() for x in S._sha_signatures(list(texts))], dtype=object)
+
+    df = frame(spark, [(i, t, i % 2 > 0) for i, t in enumerate(near_texts(5, 60))], "k int, t string, train boolean")
+    assert S.best_match(df.where("train"), df.where("not train"), "k", "t", family=counted).count() == 30 and seen.value == 60
+
+
 def test_near_duplicate_report(spark):
     base = "the quick brown fox jumps over the lazy dog while seven wizards quietly box " * 3
     other = "entirely different text about other things that nobody has written before " * 3
