@@ -260,6 +260,20 @@ def test_sha_minima_of_many_letters_and_long_texts(monkeypatch):
     assert S._sha_minima(np.array(h, np.uint64)).tolist() == plain(h)
 
 
+def test_signatures_hold_one_text_at_a_time():
+    """A batch of texts without common grams takes little memory, as what is held doesn't grow with the batch."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    texts = ["".join(map(chr, rng.choices(range(97, 123), k=2000))) for _ in range(800)]
+    S._Grams().signatures(texts[:1])
+    tracemalloc.start()
+    S._Grams().signatures(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # sets of strings for the whole batch take over twice as much
+
+
 def test_best_match_against_all_collisions(spark):
     """Equal to scoring every pair that collides in a band, with copies, groups of near copies, ties and texts without grams."""
     import numpy as np
